@@ -26,5 +26,41 @@ def p7_found(spark, d):
     return expanded(pairs, copies).select(F.col("kind").alias("item_kind"), F.col("a").alias("a_id"), F.col("b").alias("b_id"))
 
 
+def p2_found(spark, d):
+    from lorewright.llm.ranking import first_in_group
+
+    return first_in_group(p2_ranking(spark, d), "query_id", "hit_id", 3).select("query_id", "hit_id")
+
+
+def p2_ranking(spark, d):
+    from lorewright.llm.ranking import combined_ranking
+
+    return combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", {"similarity": 1, "score": 1, "relevance_score": 1})
+
+
+def p5_found(spark, d):
+    from lorewright.llm.facts import fact_copies
+
+    return fact_copies(table(spark, d, "triples")).filter("id <> first_id").select(F.col("first_id").alias("first_seq"), F.col("id").alias("copy_seq"))
+
+
+def p5_facts(spark, d):
+    from lorewright.llm.facts import collapsed
+
+    return collapsed(table(spark, d, "triples")).withColumnRenamed("first_id", "first_seq")
+
+
+def p8_ids(spark, d):
+    from lorewright.llm.tokens import token_ids
+
+    return token_ids(table(spark, d, "documents"))
+
+
+def p8_decoded(spark, d):
+    from lorewright.llm.tokens import decoded, pieces, token_ids
+
+    return decoded(token_ids(table(spark, d, "documents")), pieces(spark))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit() and callable(f) and not name.endswith("_items")}
