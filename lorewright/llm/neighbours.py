@@ -90,7 +90,7 @@ def balanced_centroids(x: np.ndarray, leaf: float, rounds: int = 3, seed: int =
 class CentroidGraph:
     """An in-memory neighbour graph over the centroids, walked best-first for a batch of vectors at once."""
 
-    def __init__(self, c: np.ndarray, degree: int = 24, entries: int = 96, seed: int = 3):
+    def __init__(self, c: np.ndarray, degree: int = 16, entries: int = 64, seed: int = 3):
         self.c, n = c, len(c)
         self.flat = n <= 4 * entries
         if self.flat:
@@ -103,7 +103,7 @@ class CentroidGraph:
         pick = np.random.default_rng(seed).permutation(n)[: max(entries, int(4 * n**0.5))]
         self.entries = np.sort(pick).astype(np.int32)
 
-    def nearest(self, x: np.ndarray, k: int, beam: int = 12, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, k: int, beam: int = 8, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of about the k nearest centroids of each row, nearest first."""
         k = min(k, len(self.c))
         if self.flat:
@@ -190,7 +190,8 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
             if not len(b):
                 continue
             v = unpack(list(b["q"]), dim)
-            near, sim = graph.nearest(v, copies)
+            # small steps: the walk holds beam * degree centroids for each row
+            near, sim = (np.concatenate(z) for z in zip(*(graph.nearest(v[i : i + 256], copies) for i in range(0, len(v), 256))))
             dist = np.sqrt(np.maximum(2 - 2 * sim, 0))
             keep = dist <= ratio * dist[:, :1] + 1e-6
             near = np.where(keep, near, -1)
