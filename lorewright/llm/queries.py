@@ -13,6 +13,14 @@ def p1_found(spark, d):
     return similar_pairs(table(spark, d, "vectors"), "chunk_seq", "embedding", dim=96, k=10, floor=0.8)
 
 
+def p6_found(spark, d):
+    from lorewright.llm.facts import read_fields
+    from lorewright.llm.names import variant_links
+
+    triples = read_fields(table(spark, d, "triples"), ["subject", "predicate", "object"], "raw")
+    return variant_links(triples, "triple_seq", ["subject", "object"], table(spark, d, "entities")).withColumnRenamed("id", "triple_seq")
+
+
 def p7_items(spark, d):
     files = table(spark, d, "source_files").select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("content").alias("text"))
     chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_seq").alias("id"), F.col("content").alias("text"))
