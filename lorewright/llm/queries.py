@@ -70,5 +70,18 @@ def p8_decoded(spark, d):
     return decoded(token_ids(table(spark, d, "documents")), pieces(spark))
 
 
+def p10_found(spark, d):
+    from lorewright.llm.personal import given_names, personal_spans
+
+    spans = personal_spans(table(spark, d, "documents"), "doc_id", "text", given_names(table(spark, d, "entities")))
+    return spans.select(F.col("id").alias("doc_id"), "kind", "begin_at")
+
+
+def p10_masked(spark, d):
+    from lorewright.llm.personal import given_names, masked
+
+    return masked(table(spark, d, "documents"), "doc_id", "text", given_names(table(spark, d, "entities"))).withColumnRenamed("id", "doc_id")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit() and callable(f) and not name.endswith("_items")}
