@@ -46,6 +46,19 @@ def p2_ranking(spark, d):
     return combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", {"similarity": 1, "score": 1, "relevance_score": 1})
 
 
+def p4_found(spark, d):
+    from lorewright.llm.pieces import split_pieces
+
+    cuts = split_pieces(p7_items(spark, d)).filter("must").select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "cut_at")
+    return cuts.distinct()
+
+
+def p4_pieces(spark, d):
+    from lorewright.llm.pieces import split_pieces
+
+    return split_pieces(p7_items(spark, d)).select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "piece", "begin_at", "cut_at", "end_at", "content").dropDuplicates(["item_kind", "item_id", "piece"])
+
+
 def p5_found(spark, d):
     from lorewright.llm.facts import fact_copies
 
