@@ -46,6 +46,20 @@ def p2_ranking(spark, d):
     return combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", {"similarity": 1, "score": 1, "relevance_score": 1})
 
 
+def p3_found(spark, d):
+    from lorewright.llm.markup import fit_on, parts
+
+    files = table(spark, d, "source_files")
+    return parts(files, "file_id", "content", fit_on(files, "file_id", "content")).withColumnRenamed("id", "file_id")
+
+
+def p3_clean(spark, d):
+    from lorewright.llm.markup import cleaned, fit_on
+
+    files = table(spark, d, "source_files")
+    return cleaned(files, "file_id", "content", fit_on(files, "file_id", "content")).withColumnRenamed("id", "file_id")
+
+
 def p4_found(spark, d):
     from lorewright.llm.pieces import split_pieces
 
