@@ -97,6 +97,18 @@ def p8_decoded(spark, d):
     return decoded(token_ids(table(spark, d, "documents")), pieces(spark))
 
 
+def p9_mix(spark, d):
+    from lorewright.llm.mixing import mixed
+
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    from lorewright.llm.mixing import mixed
+
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark, d):
     from lorewright.llm.personal import given_names, personal_spans
 
