@@ -37,4 +37,5 @@ def ingest(spark: SparkSession, folder: str, store: VectorStore, embedder, check
 
 def late_counts(events: DataFrame, at: str, window: str = "10 minutes", delay: str = "30 minutes", by: str = "event_type") -> DataFrame:
     """Counts per event-time window and key; rows later than ``delay`` are left out once their window is closed."""
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
     return events.withWatermark(at, delay).groupBy(F.window(at, window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("begin_at"), F.col("window.end").alias("end_at"), by, "n")
