@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+USABLE = "(SELECT DISTINCT ON (chunk_seq) chunk_seq, embedding::DOUBLE[] AS e FROM vectors WHERE chunk_seq IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY chunk_seq)"
+SCORES = "(SELECT DISTINCT ON (hit_id) hit_id, query_id, similarity::DOUBLE AS a, score AS b, relevance_score AS c FROM search_hits WHERE hit_id IS NOT NULL AND query_id IS NOT NULL ORDER BY hit_id)"
+
+
+def mean_rank(x: str) -> str:
+    v = f"CASE WHEN {x} IS NULL OR isnan({x}) THEN '-inf'::DOUBLE ELSE {x} END"
+    return f"(rank() OVER (PARTITION BY query_id ORDER BY {v}) + (count(*) OVER (PARTITION BY query_id, {v}) - 1) / 2.0)"
+
+
+def field(name: str) -> str:
+    key = f"list_filter(json_keys(raw), lambda k: lower(k) = '{name}')[1]"
+    return f"CASE WHEN subject IS NULL AND predicate IS NULL AND object IS NULL AND raw IS NOT NULL THEN CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.\"' || {key} || '\"') END ELSE {name} END AS {name}_"
+
+
+def normal(name: str) -> str:
+    return f"regexp_replace(lower({name}_), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+
+
+def blank(name: str) -> str:
+    return f"({name}_ IS NULL OR regexp_full_match({name}_, '[\\s\\v\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]*'))"
+
+
+FIELDS = ("subject", "predicate", "object")
+FACTS = f"""f AS (SELECT DISTINCT ON (triple_seq) triple_seq, {", ".join(field(x) for x in FIELDS)} FROM triples WHERE triple_seq IS NOT NULL ORDER BY triple_seq),
+  n AS (SELECT triple_seq, min(triple_seq) OVER (PARTITION BY {", ".join(normal(x) for x in FIELDS)}) AS first_seq FROM f WHERE NOT ({" OR ".join(blank(x) for x in FIELDS)}))"""
+
+SHINGLES = """w AS (SELECT DISTINCT ON (kind, id) kind, id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS ws FROM (SELECT 'file' AS kind, file_id AS id, content FROM source_files WHERE content IS NOT NULL AND file_id IS NOT NULL UNION ALL SELECT 'chunk', chunk_seq, content FROM chunks WHERE content IS NOT NULL AND chunk_seq IS NOT NULL) ORDER BY kind, id),
+  s AS (SELECT DISTINCT kind, id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT kind, id, ws, unnest(range(1, CAST(len(ws) AS BIGINT) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+  c AS (SELECT kind, id, count(*) AS n FROM s GROUP BY ALL),
+  j AS (SELECT x.kind, x.id AS a_id, y.id AS b_id, count(*) AS both_ FROM s x JOIN s y ON x.kind = y.kind AND x.g = y.g AND x.id < y.id GROUP BY ALL)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""WITH u AS {USABLE}, s AS (SELECT a.chunk_seq AS a, b.chunk_seq AS b, list_cosine_similarity(a.e, b.e) AS sim FROM u a JOIN u b ON a.chunk_seq <> b.chunk_seq),
+          r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.8) SELECT DISTINCT least(a, b) AS a_seq, greatest(a, b) AS b_seq FROM r WHERE r <= 10""",
+        "p2_found": f"WITH h AS {SCORES}, r AS (SELECT query_id, hit_id, {mean_rank('a')} + {mean_rank('b')} + {mean_rank('c')} AS t FROM h) SELECT query_id, hit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, hit_id) AS n FROM r) WHERE n <= 3",
+        "p5_found": f"WITH {FACTS} SELECT first_seq, triple_seq AS copy_seq FROM n WHERE triple_seq <> first_seq",
+        "p5_facts": f"WITH {FACTS} SELECT first_seq, count(*) AS copies FROM n GROUP BY first_seq",
+        "p7_found": f"WITH {SHINGLES} SELECT j.kind AS item_kind, a_id, b_id FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id WHERE 2 * both_ >= x.n + y.n - both_",
+        "p8_decoded": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
+    }
