@@ -81,7 +81,8 @@ class GraphStore(TableStore):
         """Triples with an empty field are left out, others trimmed; equal ones are kept once, under their first number."""
         sound = rows.filter(" and ".join(f"{f} is not null and {f} <> ''" for f in FIELDS)).select("triple_seq", *[trim(f).alias(f) for f in FIELDS])
         old = self.table()
-        shift = 0 if mode == "overwrite" else (old.agg(F.max("triple_seq")).first()[0] or 0) + 1
+        last = None if mode == "overwrite" else old.agg(F.max("triple_seq")).first()[0]
+        shift = 0 if last is None else last + 1
         new = sound.withColumn("triple_seq", F.col("triple_seq") + shift)
         every = new if mode == "overwrite" else old.unionByName(new)
         self.replace(every.groupBy(*FIELDS).agg(F.min("triple_seq").alias("triple_seq")))
