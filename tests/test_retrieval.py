@@ -107,21 +107,20 @@ def test_clean_triples(spark):
     assert [tuple(r) for r in got] == [(1, "a", "b", "c"), (5, "", "b", "c")]
 
 
-class Flaky:
-    def start(self):
-        self.calls = 0
-        return self
-
-    def triples(self, text):
-        self.calls += 1
-        if "bad" in text:
-            raise RuntimeError("down")
-        if self.calls % 2:
-            raise RuntimeError("once")
-        return '[{"subject":"s","predicate":"p","object":"o"}]'
-
-
 def test_extract_retries(spark):
+    class Flaky:
+        def start(self):
+            self.calls = 0
+            return self
+
+        def triples(self, text):
+            self.calls += 1
+            if "bad" in text:
+                raise RuntimeError("down")
+            if self.calls % 2:
+                raise RuntimeError("once")
+            return '[{"subject":"s","predicate":"p","object":"o"}]'
+
     df = spark.createDataFrame([(0, "good"), (1, "bad")], "batch_id bigint, text string").coalesce(1)
     got = {r["batch_id"]: r for r in triples.extract(df, Flaky()).collect()}
     assert got[0]["attempts"] == 2 and len(got[0]["triples"]) == 1 and got[0]["error"] is None
@@ -133,15 +132,14 @@ def test_running_total(spark):
     assert [r["running_total"] for r in triples.running_total(df, "id", "n").orderBy("id").collect()] == [2 * i + 2 for i in range(100)]
 
 
-class Reverse:
-    def start(self):
-        return self
-
-    def scores(self, query, documents):
-        return [(i, float(i)) for i in range(len(documents))] + [(99, 5.0)]
+def test_rerank(spark):
+    class Reverse:
+        def start(self):
+            return self
 
+        def scores(self, query, documents):
+            return [(i, float(i)) for i in range(len(documents))] + [(99, 5.0)]
 
-def test_rerank(spark):
     docs = spark.createDataFrame([(1, "q", i, f"d{i}") for i in range(3)], "query_id bigint, query string, index int, content string")
     assert [r["content"] for r in rerank.rerank(docs, Reverse()).orderBy("rank").collect()] == ["d2", "d1", "d0"]
     off = rerank.rerank(docs, None).orderBy("rank").collect()
