@@ -85,6 +85,8 @@ def fit_rates(hard: np.ndarray, soft: DataFrame | None, goal: np.ndarray, caps:
 
     hard: tokens of labelled documents by domain. soft: (doc_id, n_tokens, p). Minimises the squared distance of
     expected domain tokens to ``goal`` by projected gradient steps, scaled by the tokens that a domain has."""
+    if not len(hard):
+        return hard, []
     total = hard.copy()
     if soft is not None:
         row = soft.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(len(hard))]).first()
