@@ -90,9 +90,9 @@ def balanced_centroids(x: np.ndarray, leaf: float, rounds: int = 3, seed: int =
 class CentroidGraph:
     """An in-memory neighbour graph over the centroids, walked best-first for a batch of vectors at once."""
 
-    def __init__(self, c: np.ndarray, degree: int = 16, entries: int = 64, seed: int = 3):
+    def __init__(self, c: np.ndarray, degree: int = 32, entries: int = 384, seed: int = 3):
         self.c, n = c, len(c)
-        self.flat = n <= 4 * entries
+        self.flat = n <= 384
         if self.flat:
             return
         links = np.empty((n, degree), dtype=np.int32)
@@ -100,10 +100,10 @@ class CentroidGraph:
             s = c[i : i + 1024] @ c.T
             links[i : i + 1024] = np.argpartition(-s, degree, axis=1)[:, :degree]
         self.links = links
-        pick = np.random.default_rng(seed).permutation(n)[: max(entries, int(4 * n**0.5))]
+        pick = np.random.default_rng(seed).permutation(n)[: max(entries, int(12 * n**0.5))]
         self.entries = np.sort(pick).astype(np.int32)
 
-    def nearest(self, x: np.ndarray, k: int, beam: int = 8, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, k: int, beam: int = 8, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of about the k nearest centroids of each row, nearest first."""
         k = min(k, len(self.c))
         if self.flat:
@@ -157,7 +157,7 @@ def search_list(x, ids, n, lists, own, k, floor, rows_at=512):
     return pd.DataFrame({"a": ids[a], "b": ids[b], "sim": v.astype(np.float32), "n_b": n[b]})
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: int = 10, floor: float = 0.8, list_rows: int = 200, sample_rows: int = 40_000, copies: int = 3, ratio: float = 1.2, block: int = 4096) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: int = 10, floor: float = 0.8, list_rows: int = 200, sample_rows: int = 40_000, copies: int = 3, ratio: float = 1.6, block: int = 4096) -> DataFrame:
     """(a_seq, b_seq): pairs with cosine of at least ``floor`` of which one is among the other's k most similar.
 
     ``sample_rows`` bounds the rows the centroids are fitted on; every usable row is indexed and is a query.

@@ -27,6 +27,9 @@ NAME_CUES = (
 )
 #: What follows a person who is named before it.
 NAME_ENDS = (" approved ", " a validé ", " hat den ", " hat die ", " hat das ", " aprobó ", " porte le ", " lautet ", " <", " signed ", " genehmigte ", ", the cache ")
+#: Cues and endings after and before which M. is a title.
+FRENCH = ("dossier de ", "contactez ", " a validé ", " porte le ")
+START = re.compile(r"(?<![\w'’.\-])[^\W\d_]|(?<=\. )[^\W\d_]")
 TITLE = r"(?:(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herrn|Herr|Frau|Mme|Mlle|M|Sra|Sr|don|doña|Don|Doña|Señora|Señor|Monsieur|Madame)\b\.?[  ]+)"
 WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 INITIAL = r"[^\W\d_]\."
@@ -98,10 +101,10 @@ class Finder:
         self.auto.make_automaton()
         g = f"(?:{WORD})"
         self.forward = regex.compile(rf"(?P<title>{TITLE})?(?:(?P<i>{INITIAL}[  ]?(?:{INITIAL}[  ]?)?(?P<is>{g}))|(?P<cs>{g}),[  ](?P<cg>{g})(?:[  ]{INITIAL})?|(?P<fg>{g})(?:[  ]{INITIAL})?[  ](?P<fs>{g})|(?P<os>{g}))")
-        self.backward = regex.compile(rf"(?:{TITLE})?(?:{INITIAL}[  ]?(?:{INITIAL}[  ]?)?{g}|{g},[  ]{g}(?:[  ]{INITIAL})?|{g}(?:[  ]{INITIAL})?[  ]{g}|{g})$")
 
-    def name_at(self, text: str, at: int, backed: bool, cap: bool = True) -> tuple[int, int] | None:
-        """The person named at this place, without a title. backed: the context says that a person stands here."""
+    def name_at(self, text: str, at: int, backed: bool, french: bool = False) -> tuple[int, int] | None:
+        """The person named at this place, without a title. backed: the context says that a person stands here.
+        french: M. before a surname is a title, as elsewhere it is an initial."""
         m = self.forward.match(text, at)
         if not m:
             return None
@@ -113,12 +116,22 @@ class Finder:
             return m.start("cs"), m.end()
         if m["fg"] and known(m["fg"]) and (proper(m["fs"]) or backed):
             return m.start("fg"), m.end("fs")
+        initial = m["title"] is not None and m["title"].startswith("M.") and not french
         if m["title"] and m["os"] and backed and proper(m["os"]):
-            return m.start("os"), m.end("os")
+            return m.start("title" if initial else "os"), m.end("os")
         if m["title"] and m["fg"] and backed and proper(m["fg"]):  # a title and a surname, followed by another word
-            return m.start("fg"), m.end("fg")
+            return m.start("title" if initial else "fg"), m.end("fg")
         if m["title"] and m["cs"] and backed and proper(m["cs"]):
-            return m.start("cs"), m.end("cs")
+            return m.start("title" if initial else "cs"), m.end("cs")
+        return None
+
+    def name_before(self, text: str, end: int, french: bool) -> tuple[int, int] | None:
+        """The longest name that ends at this place."""
+        low = max(0, end - 70)
+        for m in START.finditer(text, low, end):
+            got = self.name_at(text, m.start(), True, french)
+            if got and got[1] == end:
+                return got
         return None
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
@@ -142,9 +155,9 @@ class Finder:
                     titled = low[begin:end].strip() in ("frau", "herr", "herrn", "mme", "señor", "señora")
                     sure = low[begin:end] not in (" and ", "call ", "contact ", "bitte ", "reach ") or text[begin].isupper()
                     if titled:
-                        got = self.name_at(text, begin, True)
+                        got = self.name_at(text, begin, True, low[begin:end] == "mme ")
                     else:
-                        got = self.name_at(text, end, sure)
+                        got = self.name_at(text, end, sure, low[begin:end] in FRENCH)
                     if not got and low[begin:end] == " and ":  # the second of two who signed
                         got = self.name_at(text, end, True)
                         got = got if got and low.startswith(" in duplicate", got[1]) else None
@@ -153,11 +166,9 @@ class Finder:
                     if got:
                         names.append(got)
             if "end" in kinds:
-                m = self.backward.search(text[max(0, begin - 70) : begin])
-                if m:
-                    got = self.name_at(text, max(0, begin - 70) + m.start(), True)
-                    if got and got[1] == begin:
-                        names.append(got)
+                got = self.name_before(text, begin, low[begin:end] in FRENCH)
+                if got:
+                    names.append(got)
             if "given" in kinds and (begin == 0 or not (low[begin - 1].isalnum() or low[begin - 1] in "@._+-")) and not low[end : end + 1].isalnum():
                 got = self.name_at(text, begin, False)
                 if got and got[0] == begin and text[begin].isupper():

@@ -286,7 +286,7 @@ def test_unlabelled_documents_join_softly(spark):
 
 # --- personal information ---------------------------------------------------------------------------------------
 
-GIVEN = {"ada", "josé", "thomas", "inés"}
+GIVEN = {"ada", "josé", "thomas", "inés", "philippa"}
 PERSONAL = [
     ("Reach Ada Lovel at ADA@Doga.test or call +44 20 7946 0181 now.", [("name", "Ada Lovel"), ("email", "ADA@Doga.test"), ("phone", "+44 20 7946 0181")]),
     ("On-call contact: Dr. P. Queihia, 572-555-0120. Rest.", [("name", "P. Queihia"), ("phone", "572-555-0120")]),
@@ -298,6 +298,7 @@ PERSONAL = [
     ("El DNI de Inés Tuqua es X-0016295-E. Vive en C/ Piabiar 43, 19085 Villa; teléfono 900 55 52 29.", [("name", "Inés Tuqua"), ("idnum", "X-0016295-E"), ("street", "C/ Piabiar 43, 19085 Villa"), ("phone", "900 55 52 29")]),
     ("cc mailto:a.b+c@x.example, d(at)corp(dot)invalid and e [at] f.test", [("email", "a.b+c@x.example"), ("email", "d(at)corp(dot)invalid"), ("email", "e [at] f.test")]),
     ("Use @retry(times=3) or @cache.x. Ratio 13:696, range 87-696. Build 10.4.43.535. Order 82-706-82706. Ticket INC-75120 part 975-4120-0 serial 7512075120. 2024-06-16T06:26:00Z Route 10.5.616.0/24.", []),
+    ("Das ist spät. M. Siath approved it. Le tampon tiède. M. Flibo a validé le plan. Contactez M. Philippa Gab au 01 99 00 46 11.", [("name", "M. Siath"), ("name", "Flibo"), ("name", "Philippa Gab"), ("phone", "01 99 00 46 11")]),
     ("The Klafo Lane substation. See Kliara Bridge. Le dossier de Griawia répartit tout.", []),
     ("", []),
 ]
