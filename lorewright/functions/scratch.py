@@ -1,4 +1,4 @@
-"""Tables written in the shared folder, to cut lineage where a plan must not be computed twice."""
+"""Tables written in the shared folder, to cut lineage where a plan must not be computed twice; spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -24,3 +24,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, spread over the cores before work in Python; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,7 +176,3 @@ def head_sample(df: DataFrame, n: int = 3, seq: str = "chunk_seq", content: str
     """(text): the first chunks, each followed by a blank line."""
     top = df.orderBy(seq).limit(n).agg(F.array_sort(F.collect_list(F.struct(seq, content))).alias("c"))
     return top.select(F.array_join(F.transform("c", lambda x: F.concat(x[content], F.lit("\n\n"))), "").alias("text"))
-
-
-def to_arrow_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

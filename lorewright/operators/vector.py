@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright.functions.scratch import spread
 from lorewright.functions.text import col, embeddable, query_terms
 
 DEFAULT_K = 5
@@ -48,6 +49,7 @@ def hash_embedding(text: Column | str, dims: int = 64) -> Column:
 
 def hash_vectors(df: DataFrame, text: str, dims: int = 64, out: str = "embedding") -> DataFrame:
     """hash_embedding for a whole table, in Arrow batches."""
+    df = spread(df)
     keep = [c for c in df.columns if c != out]
     schema = df.select(*keep).withColumn(out, F.array().cast("array<double>")).schema
 
@@ -104,7 +106,6 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
         def work(batches, block=block):
             ids, m = block.value
             best_s = np.full((len(ids), 0), -np.inf)
-            best_k: list = []
             keys = np.empty((len(ids), 0), dtype=object)
             for b in batches:
                 if not b.num_rows:
@@ -116,7 +117,6 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
                 order = np.argsort(-s, axis=1, kind="stable")[:, : max(k * 4, k + 16)]
                 best_s, keys = np.take_along_axis(s, order, 1), np.take_along_axis(all_k, order, 1)
             out = [(i, kk, ss) for i, ks, sc in zip(ids, keys, best_s) for ss, kk in sorted(zip(sc, ks), key=lambda z: (-z[0], z[1]))[:k]]
-            del best_k
             cols = list(zip(*out)) if out else ([], [], [])
             yield pa.RecordBatch.from_pydict({"qid": list(cols[0]), "k": list(cols[1]), "similarity": list(cols[2])}, schema=pa.schema([("qid", _arrow(qkind)), ("k", _arrow(kind)), ("similarity", pa.float64())]))
 
