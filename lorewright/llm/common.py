@@ -1,44 +1,14 @@
-"""Shared pieces of the training-data operators: scratch tables, repeated rows, batch helpers."""
+"""Shared pieces of the training-data operators: scratch tables, input tables, repeated rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if "root" not in _LOCAL:
-        _LOCAL["root"] = "file://" + tempfile.mkdtemp(prefix="lorewright-")
-    return _LOCAL["root"]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives executor loss."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+from lorewright.functions.scratch import spread
+from lorewright.functions.scratch import written as materialize
 
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by materialize() that nothing reads any more."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["materialize", "once", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +18,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def once(df: DataFrame, key: str) -> DataFrame:
     """Repeated rows count once: one row per key; rows without key are dropped (they cannot be named in a result)."""
     return df.filter(F.col(key).isNotNull()).dropDuplicates([key])
-
-
-def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Round-robin a small-file input over the cores when its scan has fewer tasks than that."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // per_core else df
-
-
-def local_only(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or os.environ.get("SPARK_LOCAL") == "1"

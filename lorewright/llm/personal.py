@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.llm.common import spread
+
 #: Cues after which a person may be named.
 NAME_CUES = (
     "reach ", "contact: ", "ask for ", "form to ", "issued to ", "according to ", "signed by ", " and ", "owner=", "reporter: ", "ansprechpartner: ", "steuer-id von ", "bitte ", "dni de ", "llame a ", "dossier de ", "contactez ", "attn ", "attn: ",
@@ -227,7 +229,7 @@ def personal_spans(df: DataFrame, id_col: str, text_col: str, given: set[str]) -
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["id", "kind", "begin_at", "end_at"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and text <> ''")
-    return rows.mapInArrow(work, "id long, kind string, begin_at long, end_at long").distinct()
+    return spread(rows).mapInArrow(work, "id long, kind string, begin_at long, end_at long").distinct()
 
 
 def masked(df: DataFrame, id_col: str, text_col: str, given: set[str]) -> DataFrame:

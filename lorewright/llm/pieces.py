@@ -14,6 +14,7 @@ points of the text as it stands.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.llm.common import spread
+
 GAP = re.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")
 STOP = re.compile(r"(?<=[.!?])\s+")
 
@@ -94,7 +97,8 @@ def cuts_of(text: str, limit: int, overlap: int, least: int, mean: int) -> tuple
         for c in sorted(s for s in snapped if at < s < stop) + [stop]:
             if c != stop and (c - at < least or stop - c < least):
                 continue
-            while text[at:c].rstrip() and len(text[at:c].rstrip()) > (limit if fits_one(at, ends, text, limit, c) else whole):
+            # a single unit may fill a piece up to the limit, several leave room for what is repeated
+            while len(text[at:c].rstrip()) > (limit if next_start(ends, at) >= c else whole):
                 near = at + whole
                 k = int(np.searchsorted(places, near, side="right")) - 1
                 n = int(places[k]) if k >= 0 and places[k] > at else 0
@@ -115,16 +119,9 @@ def cuts_of(text: str, limit: int, overlap: int, least: int, mean: int) -> tuple
 
 
 def next_start(ends: list[int], at: int) -> int:
-    import bisect
-
     return ends[min(bisect.bisect_right(ends, at), len(ends) - 1)]
 
 
-def fits_one(at: int, ends: list[int], text: str, limit: int, c: int) -> bool:
-    """Whether what lies before the cut is a single unit: it may fill a piece up to the limit."""
-    return next_start(ends, at) >= c
-
-
 def split_pieces(df: DataFrame, limit: int = 1000, overlap: int = 200, least: int = 250, mean: int = 500) -> DataFrame:
     """(kind, id, piece, begin_at, cut_at, end_at, must, content) for a table (kind, id, text). begin_at is where the
     repeated characters begin, cut_at where new text begins; must tells cuts that are set in any case."""
@@ -148,4 +145,4 @@ def split_pieces(df: DataFrame, limit: int = 1000, overlap: int = 200, least: in
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["kind", "id", "piece", "begin_at", "cut_at", "end_at", "must", "content"])
 
     rows = df.select("kind", F.col("id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
-    return rows.mapInArrow(work, "kind string, id long, piece int, begin_at long, cut_at long, end_at long, must boolean, content string")
+    return spread(rows).mapInArrow(work, "kind string, id long, piece int, begin_at long, cut_at long, end_at long, must boolean, content string")
