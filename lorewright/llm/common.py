@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.functions.scratch import spread
 from lorewright.functions.scratch import written as materialize
 
-__all__ = ["materialize", "once", "spread", "table"]
+__all__ = ["hot_size", "join_hot", "materialize", "once", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def once(df: DataFrame, key: str) -> DataFrame:
     """Repeated rows count once: one row per key; rows without key are dropped (they cannot be named in a result)."""
     return df.filter(F.col(key).isNotNull()).dropDuplicates([key])
+
+
+def hot_size(total: int, parts: int = 1000, least: int = 20_000) -> int:
+    """From how many rows on a key is hot: more than a thousandth of all rows, so that at most ``parts`` keys are."""
+    return max(least, total // parts)
+
+
+def join_hot(rows: DataFrame, reps: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000, least: int = 20_000, any_hot: bool | None = None) -> DataFrame:
+    """Inner join of rows to the few records of their key (a written table), where column ``n`` tells how many rows a key has.
+
+    The records of hot keys are broadcast, so no task gets the rows of a hot key; all other keys are joined by shuffle.
+    any_hot: whether there are hot keys, if that is known already."""
+    size = hot_size(total, parts, least)
+    hot = reps.filter(F.col(n) > size)
+    if hot.isEmpty() if any_hot is None else not any_hot:
+        return rows.join(reps, keys)
+    cold = reps.filter(F.col(n) <= size)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize, once
+from lorewright.llm.common import join_hot, materialize, once
 
 BLANK = r"^[\s\p{Z}\p{Cc}\p{Cf}]*$"
 
@@ -52,9 +52,10 @@ def _grouped(df: DataFrame, id_col: str, fields: list[str], raw: str | None) ->
     rows = once(df.filter(sound).select(F.col(id_col).alias("id"), *[normal(f).alias(f) for f in fields]), "id")
     v = {f: F.col(f) for f in fields}
     rows = rows.withColumns({"h1": fingerprint(v, "a"), "h2": fingerprint(v, "b")})
-    first = rows.groupBy("h1", "h2").agg(F.min_by(F.struct("id", *fields), "id").alias("first"))
+    first = materialize(rows.groupBy("h1", "h2").agg(F.min_by(F.struct("id", *fields), "id").alias("first"), F.count("*").alias("n")), "fact-groups")
+    total = first.agg(F.sum("n")).first()[0] or 0
     same = reduce(lambda a, b: a & b, [F.col(f) == F.col("first")[f] for f in fields])
-    joined = rows.join(first, ["h1", "h2"]).withColumn("same", same)
+    joined = join_hot(rows, first, ["h1", "h2"], "n", total).withColumn("same", same)
     held = materialize(joined.select("id", F.col("first.id").alias("first_id"), "same", *[F.when(~F.col("same"), F.col(f)).alias(f) for f in fields]), "facts")
     good = held.filter("same").select("id", "first_id")
     odd = held.filter("not same")

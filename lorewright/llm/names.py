@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize
+from lorewright.llm.common import join_hot, materialize
 
 #: Common English short forms of given names.
 SHORT = {
@@ -318,6 +318,9 @@ def name_mentions(df: DataFrame, id_col: str, slots: list[str]) -> DataFrame:
 def variant_links(df: DataFrame, id_col: str, slots: list[str], entities: DataFrame) -> DataFrame:
     """(id, slot, entity_id): mentions of a known entity under a spelling that is not its listed one."""
     said = name_mentions(df, id_col, slots)
-    links = materialize(link_names(said.select("key").distinct(), entities), "name-links")
+    keys = materialize(said.groupBy("key").agg(F.count("*").alias("n")), "name-keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    links = link_names(keys.select("key"), entities)
     listed = entities.filter("entity_id is not null and name is not null").select("entity_id", F.regexp_replace(F.lower("name"), r"[^\p{L}\p{Nd}]+", "").alias("key")).distinct()
-    return said.join(links.join(listed, ["entity_id", "key"], "left_anti"), "key").select("id", "slot", "entity_id").distinct()
+    variants = materialize(links.join(listed, ["entity_id", "key"], "left_anti").join(keys, "key"), "name-links")
+    return join_hot(said, variants, ["key"], "n", total).select("id", "slot", "entity_id").distinct()

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize
+from lorewright.llm.common import hot_size, join_hot, materialize
 
 SCALE = 32767.0
 
@@ -165,15 +165,19 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col, dim)
     # one shuffle counts repeated rows once and joins equal vectors to a group
-    groups = materialize(rows.groupBy("q").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "vectors-groups")
+    groups = materialize(rows.groupBy("q").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("rows")), "vectors-groups")
     total = groups.count()
     shape = "a_seq long, b_seq long"
     if total == 0:
         return spark.createDataFrame([], shape)
     # members of groups of equal vectors: only rows whose vector occurs under several ids are shuffled again
-    many = groups.filter("rep <> last").select(F.xxhash64("q").alias("h"), "q", "rep")
-    members = materialize(rows.select("id", "q", F.xxhash64("q").alias("h")).join(many.select("h", F.col("q").alias("q2"), "rep"), "h").filter("q = q2").select("id", "rep").distinct(), "vectors-members")
-    sizes = members.groupBy("rep").agg(F.count("*").cast("int").alias("n"))
+    many = groups.filter("rep <> last").select(F.xxhash64("q").alias("h"), F.col("q").alias("q2"), "rep", "rows")
+    every_row = groups.agg(F.sum("rows")).first()[0]
+    hashed = rows.select("id", "q", F.xxhash64("q").alias("h"))
+    members = materialize(join_hot(hashed, many, ["h"], "rows", every_row).filter("q = q2").select("id", "rep").distinct(), "vectors-members")
+    sizes = materialize(members.groupBy("rep").agg(F.count("*").cast("int").alias("n")), "vectors-sizes")
+    copied = members.count()
+    any_hot = not sizes.filter(F.col("n") > hot_size(copied)).isEmpty()
     # a bounded sample, chosen by hash so that it does not depend on row order
     every = max(1, -(-total // sample_rows))
     sample = groups.filter(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("q").toPandas()["q"]
@@ -242,9 +246,15 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
     edges = ranked.withColumn("slots", slots.cast("int")).filter("slots > 0").select("a", "b", "slots")
     # equal vectors: the first k + 1 members of a group stand for it, so the result stays linear in its size
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1)
-    edges = edges.join(members.select(F.col("rep").alias("a"), F.col("id").alias("a_id")), "a", "left").join(first.select(F.col("rep").alias("b"), F.col("id").alias("b_id"), "r"), "b", "left")
-    edges = edges.filter("r is null or r <= slots").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"))
-    within = members.join(first.select("rep", F.col("id").alias("y")), "rep").filter("id <> y")
+    edges = materialize(edges, "vectors-edges") if any_hot else edges
+    # an edge from a group goes out from each of its members
+    twins = edges.join(sizes.withColumnRenamed("rep", "a"), "a")
+    lone = edges.join(sizes.select(F.col("rep").alias("a")), "a", "left_anti").withColumn("a_id", F.col("a"))
+    spread_out = join_hot(members.select(F.col("rep").alias("a"), F.col("id").alias("a_id")), twins, ["a"], "n", copied, any_hot=any_hot)
+    edges = lone.select("a_id", "b", "slots").unionByName(spread_out.select("a_id", "b", "slots"))
+    edges = edges.join(first.select(F.col("rep").alias("b"), F.col("id").alias("b_id"), "r"), "b", "left")
+    edges = edges.filter("r is null or r <= slots").select(F.col("a_id").alias("x"), F.coalesce("b_id", "b").alias("y"))
+    within = join_hot(members, first.select("rep", F.col("id").alias("y")).join(sizes, "rep"), ["rep"], "n", copied, any_hot=any_hot).filter("id <> y")
     top = within.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("y"))).filter(F.col("r") <= k)
     both = edges.unionByName(top.select(F.col("id").alias("x"), "y"))
     return both.select(F.least("x", "y").alias("a_seq"), F.greatest("x", "y").alias("b_seq")).distinct()

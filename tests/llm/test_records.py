@@ -76,3 +76,14 @@ def test_rematch_learns_spellings(spark):
 
 def test_edits():
     assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("kitten", "sitting", 3) == 3
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from lorewright.llm.common import join_hot, materialize
+
+    rows = spark.range(300).select("id", F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 20).alias("k"))
+    reps = materialize(rows.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n")), "t")
+    plain = {tuple(r) for r in rows.join(reps, ["k"]).select("id", "first").collect()}
+    assert {tuple(r) for r in join_hot(rows, reps, ["k"], "n", 300, parts=10, least=1).select("id", "first").collect()} == plain and len(plain) == 300
