@@ -88,12 +88,14 @@ def balanced_centroids(x: np.ndarray, leaf: float, rounds: int = 3, seed: int =
 
 
 class CentroidGraph:
-    """An in-memory neighbour graph over the centroids, walked best-first for a batch of vectors at once."""
+    """An in-memory neighbour graph over the centroids, walked best-first for a batch of vectors at once.
 
-    def __init__(self, c: np.ndarray, degree: int = 32, entries: int = 384, seed: int = 3):
+    It is built once and broadcast; its size depends on the number of lists alone (about 500 bytes a list)."""
+
+    def __init__(self, c: np.ndarray, links: np.ndarray | None = None, entry: np.ndarray | None = None, degree: int = 32, entries: int = 384, seed: int = 3):
         self.c, n = c, len(c)
-        self.flat = n <= 384
-        if self.flat:
+        self.flat, self.links, self.entries = n <= 384, links, entry
+        if self.flat or links is not None:
             return
         links = np.empty((n, degree), dtype=np.int32)
         for i in range(0, n, 1024):
@@ -186,10 +188,11 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
     x = unpack(list(sample), dim)
     n_lists = max(1, total // list_rows)
     c = balanced_centroids(x, len(x) / n_lists)
-    held = spark.sparkContext.broadcast(c)
+    built = CentroidGraph(c)
+    held = spark.sparkContext.broadcast((c, built.links, built.entries))
 
     def assign(batches):
-        graph = CentroidGraph(held.value)
+        graph = CentroidGraph(*held.value)
         for b in batches:
             if not len(b):
                 continue
@@ -246,7 +249,7 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
     edges = ranked.withColumn("slots", slots.cast("int")).filter("slots > 0").select("a", "b", "slots")
     # equal vectors: the first k + 1 members of a group stand for it, so the result stays linear in its size
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1)
-    edges = materialize(edges, "vectors-edges") if any_hot else edges
+    edges = materialize(edges, "vectors-edges")
     # an edge from a group goes out from each of its members
     twins = edges.join(sizes.withColumnRenamed("rep", "a"), "a")
     lone = edges.join(sizes.select(F.col("rep").alias("a")), "a", "left_anti").withColumn("a_id", F.col("a"))
