@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "lorewright-scratch"
 _LOCAL: dict[str, str] = {}
 
 
@@ -21,11 +22,17 @@ def root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{root(df.sparkSession)}/{FOLDER}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables written here. Results that were not stored yet may still read them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{FOLDER}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table read from fewer files than there are cores, spread over the cores before work in Python; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
