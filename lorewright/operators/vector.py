@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -89,7 +91,7 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
     k = k if k > 0 else DEFAULT_K
     spark = rows.sparkSession
     q = queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("v")).orderBy("qid")
-    held = [(r["qid"], np.asarray(r["v"], dtype=np.float64)) for r in q.toLocalIterator()]
+    stream = q.toLocalIterator()
     src = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"))
     kind = dict(rows.select(key).dtypes)[key]
     qkind = dict(queries.select(query_key).dtypes)[query_key]
@@ -100,8 +102,8 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
         return x / np.where(n == 0, 1.0, n)
 
     parts = []
-    for lo in range(0, len(held), QUERY_BLOCK):
-        block = spark.sparkContext.broadcast(([i for i, _ in held[lo : lo + QUERY_BLOCK]], scaled(np.stack([v for _, v in held[lo : lo + QUERY_BLOCK]]))))
+    while some := list(islice(stream, QUERY_BLOCK)):
+        block = spark.sparkContext.broadcast(([r["qid"] for r in some], scaled(np.array([r["v"] for r in some], dtype=np.float64))))
 
         def work(batches, block=block):
             ids, m = block.value
