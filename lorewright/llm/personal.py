@@ -36,13 +36,11 @@ TITLE = r"(?:(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herrn|Herr|Frau|Mme|Mlle|M|Sra|Sr|don|do
 WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 INITIAL = r"[^\W\d_]\."
 ID_CUES = ("number on file:", "id no.", "record lists", "ausweis", "lautet", "le numéro", "dni", " es ", "passport", "tax number", "steuer-id", "nie ", "ssn", "national insurance")
-PHONE_CUES = ("+", "00", "(", "tel", "ring", "call", "contact", "phone", "teléfono", "tél", "unter", " au ", " al ", "rückfragen", "mobil", "/", ",")
 STREET_WORDS = (
     " street", " avenue", " lane", " way", " rd", " road", " crescent", " close", " drive", " court", " terrace", "straße", "strasse", "str.", "weg ", "platz ", "allee ", "gasse ", "ring ", "ufer ", "damm ", " mühle ", " chemin ", " rue ", " avenue ", " boulevard ", " place ", " quai ", " impasse ", " allée ",
     ",chemin ", "calle ", "c/ ", "plaza ", "avda. ", "avenida ", "paseo ", "camino ", "an der ", "am ", "im ", "zum ", "auf der ",
 )
 
-AT = r"(?:@|[ ]?(?:\(at\)|\[at\]|\{at\}| at )[ ]?)"
 DOT = r"(?:\.|[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?)"
 USER_LEFT = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]*[\p{L}\p{N}_%+\-])?$")
 DOMAIN = regex.compile(rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{DOT}[\p{{L}}]{{2,}}", regex.I)
@@ -74,8 +72,6 @@ ID = regex.compile(
     )(?![\p{L}\p{N}]|[\-.]\d)""",
     regex.X,
 )
-CITY = r"(?:,[ ](?:\d{4,5}[ ])?\p{Lu}[\p{L}\-]+(?:[ \-]\p{L}[\p{L}\-]*){0,3})?"
-NUMBER = r"\d{1,4}[ ]?[a-zA-Z]?(?:[ ](?:bis|ter))?"
 STREETS = [
     regex.compile(rf"(?:(?:Unit|Flat|Apt\.?|Apartment|Suite)[ ]\d+[A-Z]?,[ ])?\d{{1,4}}[A-Z]?[ ](?:\p{{Lu}}[\p{{L}}'’\-]+[ ]){{1,3}}(?:Street|St\.?|Avenue|Ave\.?|Lane|Way|Road|Rd\.?|Crescent|Close|Drive|Court|Terrace|Square|Boulevard)\b(?:,[ ](?:Flat|Suite|Apt\.?|Unit)[ ]\d+[A-Z]?)?(?:,[ ](?:Port|Saint|New|Mount)[ ]\p{{Lu}}\p{{L}}+)?"),
     regex.compile(r"(?:An[ ]der|Am|Auf[ ]der|Im|Zum|In[ ]der)[ ]\p{Lu}[\p{L}\-]+(?:[ ]\p{Lu}[\p{L}\-]+)?[ ]\d{1,4}[ ]?[a-z]?\b(?:,[ ]\d{5}[ ]\p{Lu}[\p{L}\-]+)?"),
