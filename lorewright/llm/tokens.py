@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +36,21 @@ def load(name: str, folder: str = TOKENIZERS):
 
 
 def words_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, at): one row per distinct word of a text with the positions where it stands."""
+    """(doc_id, pos, word): one row per word of a text."""
     pieces = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     return docs.select("doc_id", F.posexplode(pieces).alias("pos", "word"))
 
 
-def encoder(name: str, folder: str):
-    def encode(batches):
+def encoded(words: DataFrame, name: str, folder: str) -> DataFrame:
+    """(word, n, ids): each distinct word encoded once."""
+
+    def work(batches):
         t = load(name, folder)
         for b in batches:
-            w = b["word"].tolist()
-            yield pd.DataFrame({"word": w, "ids": [e.ids for e in t.encode_batch(w, add_special_tokens=False)]})
+            ids = [e.ids for e in t.encode_batch(b["word"].to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return encode
+    return words.select("word", "n").mapInArrow(work, "word string, n long, ids array<int>")
 
 
 def token_ids(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_words: int = 50_000) -> DataFrame:
@@ -57,11 +59,11 @@ def token_ids(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER
     docs = materialize(docs.filter("text is not null and text <> ''"), "token-texts")
     flat = words_of(docs)
     counts = flat.groupBy("word").agg(F.count("*").alias("n"))
-    table = materialize(counts.repartition("word").select("word", "n").mapInPandas(_keep_count(name, folder), "word string, n long, ids array<int>"), "words")
+    table = materialize(encoded(counts, name, folder), "words")
     hot = table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids", F.lit(True).alias("hot"))
     hot = materialize(hot, "hot-words")
     packed = F.expr(f"transform(ids, (t, i) -> shiftleft(cast(pos as bigint), {PART + ID}) + shiftleft(cast(i as bigint), {ID}) + t)").alias("t")
-    # words are told by length and hash while they are many; most rows end here, grouped before they are shuffled
+    # most words are hot: their rows are put together by text before anything is shuffled
     near = flat.join(F.broadcast(hot), "word", "left")
     here = near.filter("hot").select("doc_id", packed)
     rare = near.filter("hot is null").select("doc_id", "pos", "word").join(table.join(F.broadcast(hot.select("word")), "word", "left_anti").select("word", "ids"), "word").select("doc_id", packed)
@@ -71,18 +73,6 @@ def token_ids(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER
     return ids.unionByName(nothing)
 
 
-def _keep_count(name: str, folder: str):
-    encode = encoder(name, folder)
-
-    def work(batches):
-        for b in batches:
-            if len(b):
-                e = next(encode(iter([b[["word"]]])))
-                yield pd.DataFrame({"word": b["word"].tolist(), "n": b["n"], "ids": e["ids"].tolist()})
-
-    return work
-
-
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, piece): the vocabulary, each piece as its bytes; its size is that of the tokenizer."""
     vocabulary = load(name, folder).get_vocab(with_added_tokens=True)
