@@ -59,6 +59,10 @@ def edits(a: str, b: str, most: int) -> int:
         return most + 1
     if a == b:
         return 0
+    # an edit spoils one of disjoint pieces, a swap two at most: of 2 * most + 1 pieces one must be there as it stands
+    step = len(b) // (2 * most + 1)
+    if step > 1 and not any(b[i : i + step] in a for i in range(0, step * (2 * most + 1), step)):
+        return most + 1
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i] + [0] * len(b)
