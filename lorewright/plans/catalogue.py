@@ -378,4 +378,11 @@ def queries() -> dict:
 
 
 def flagship(spark, d) -> DataFrame:
-    return hybrid_merge(spark, d)
+    """Files to chunks, chunks to embeddings, and the chunks most similar to the first asked query."""
+    from lorewright.sources.models import HashEmbedder
+
+    asked = table(spark, d, "search_queries").filter("query is not null and trim(query) <> ''").orderBy("query_id").first()["query"]
+    chunks = chunk.split_by_sentence(source_files(spark, d), "text", "name", chunk.ChunkOptions(1000, 200))
+    held = vector.hash_vectors(chunks.select("file_id", "id", "name", "content"), "content", 64)
+    hits = vector.top_k(held, HashEmbedder(64).embed([asked])[0], 5, key="id")
+    return hits.select("id", F.col("name").alias("source"), "content", F.round("similarity", 4).alias("similarity"))
