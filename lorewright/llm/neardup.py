@@ -4,6 +4,8 @@ One 64-bit hash function orders the distinct word n-grams of a text; the k small
 of retained values generate overlaps: a list belongs to two values that stand next to each other (within ``span``)
 in a sketch, so that common n-grams alone bring nothing together. Lists that would be longer than ``hot`` are
 refined by one more retained value, again and again up to ``deepest``, so no value is dropped and none explodes.
+Longer tuples bring fewer pairs together, so texts that share a refined list are also joined exactly, on the rarest
+of all their n-grams (prefix filter): whether a pair is found does not depend on how many other texts share its values.
 Pairs that meet in enough lists are filtered by the similarity estimated on the union of both sketches, then
 verified on the exact n-gram sets. Texts with the same word sequence form a class, of which one member is compared.
 
@@ -25,6 +27,8 @@ from lorewright.llm.common import join_hot, materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the buckets in which keys are counted: so many that a bucket is as good as one key, whatever the input.
+WIDE = 40
 
 
 def words(text: str) -> list[str]:
@@ -112,6 +116,25 @@ def hot_bits(keys: np.ndarray, bitset: np.ndarray, bits: int) -> np.ndarray:
     return (bitset[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def tally(keys: np.ndarray) -> pa.RecordBatch:
+    """(bucket, n) of keys."""
+    bucket, n = np.unique((keys >> np.uint64(64 - WIDE)).astype(np.int64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+
+def over(counts: DataFrame, limits: list[int], bits: int) -> list[np.ndarray]:
+    """For each of the ascending limits a bitset of fixed size: a key counted more often is in it, few others are."""
+    at = F.shiftright("bucket", WIDE - bits)
+    many = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limits[0]).select(at.alias("at"), "n")
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    rows = many.groupBy(F.shiftright("at", 6).alias("w")).agg(*[F.bit_or(F.when(F.col("n") > x, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{x}") for x in limits]).collect()  # at most 2^bits / 64 rows
+    out = [np.zeros(1 << (bits - 6), np.uint64) for _ in limits]
+    for r in rows:
+        for x, bitset in zip(limits, out):
+            bitset[r["w"]] = np.uint64(r[f"m{x}"] & 0xFFFFFFFFFFFFFFFF)
+    return [x.view(np.uint8) for x in out]
+
+
 def estimate(sa: np.ndarray, sb: np.ndarray, k: int) -> float:
     """Share of the k smallest values of the union that both sketches hold."""
     u = np.union1d(sa, sb)[:k]
@@ -139,6 +162,88 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def in_filter(df: DataFrame, held) -> DataFrame:
+    """The rows (id, text) whose id may be in a broadcast bitset of ``id_filter`` of 22 bits."""
+
+    def wanted(batches):
+        for b in batches:
+            at = b["bucket"].to_numpy()
+            yield b.filter(pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["id", "text"])
+
+    return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id long, text string")
+
+
+def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: float, n_kinds: int, bits: int) -> DataFrame:
+    """(a, b): pairs of the texts ``among`` (id), all that are at least ``threshold`` similar and few others.
+
+    N-grams are ordered from rare to common. Two sets so similar share one of their first n - ceil(threshold * n) + 1
+    n-grams each, and from the first shared one on enough must be left in both."""
+    held = df.sparkSession.sparkContext.broadcast(id_filter(among, 22))
+    texts = materialize(in_filter(df, held).join(among, "id", "left_semi").dropDuplicates(["id"]), "crowded-texts")
+    eps = 1e-9
+
+    def grams_in(b, memo):
+        for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
+            yield i, mix(np.array([i % n_kinds + 1], np.uint64), shingles(words(text), size, memo))
+
+    def count(batches):
+        memo: dict[str, int] = {}
+        for b in batches:
+            h = [h for _, h in grams_in(b, memo)]
+            if h:
+                yield tally(np.concatenate(h))
+
+    levels = df.sparkSession.sparkContext.broadcast(over(texts.mapInArrow(count, "bucket long, n long"), [1, 20, 200, 2000, 20000], bits))
+
+    def post(batches):
+        memo: dict[str, int] = {}
+        for b in batches:
+            out = ([], [], [])
+            for i, h in grams_in(b, memo):
+                level = sum(hot_bits(h, x, bits).astype(np.int8) for x in levels.value)
+                order = np.lexsort((h, level))[: len(h) - int(np.ceil(threshold * len(h) - eps)) + 1]
+                at = np.flatnonzero(level[order])  # what no other text has brings nothing together
+                for col, v in zip(out, (h[order[at]].view(np.int64), np.full(len(at), i, np.int64), at + (len(h) << 32))):
+                    col.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "id", "place"])
+
+    def meet(batches):
+        rest = None
+        for b in batches:
+            rows = np.stack([b[c].to_numpy() for c in ("key", "id", "place")])
+            rest = rows if rest is None else np.concatenate([rest, rows], axis=1)
+            if rest.shape[1] and rest[0, 0] != rest[0, -1]:
+                cut = int(np.searchsorted(rest[0], rest[0, -1]))
+                yield from lists_of(rest[:, :cut])
+                rest = rest[:, cut:]
+        if rest is not None and rest.shape[1]:
+            yield from lists_of(rest)
+
+    def lists_of(rows):
+        ends = np.flatnonzero(np.append(rows[0, 1:] != rows[0, :-1], True)) + 1
+        starts = np.append(0, ends[:-1])
+        length = ends - starts
+        for m in np.unique(length[length > 1]):
+            at, few = starts[length == m], min(m, 512)
+            step = max(1, 500_000 // int(few * m))
+            for lo in range(0, len(at), step):
+                for x in range(0, m, few):  # a long list meets itself part by part
+                    i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + few, m)), np.arange(m), indexing="ij"))
+                    i, j = i[i < j], j[i < j]
+                    yield close(rows, (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel())
+
+    def close(rows, i, j):
+        (_, a, x), (_, b, y) = rows[:, i], rows[:, j]
+        na, nb = x >> 32, y >> 32
+        left = np.minimum(na - (x & 0xFFFFFFFF), nb - (y & 0xFFFFFFFF))
+        ok = (a != b) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - eps) & (left >= threshold / (1 + threshold) * (na + nb) - eps)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+
+    lists = texts.mapInArrow(post, "key long, id long, place long").repartition(F.col("key")).sortWithinPartitions("key")
+    return lists.mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, span: int = 2, hot: int = 20, deepest: int = 5, least_lists: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies) for a table (kind, id, text): pairs (kind, a, b, jaccard) of class representatives that are at
     least ``threshold`` similar, and copies
@@ -157,27 +262,24 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
     bits = int(min(24, max(12, np.ceil(np.log2(max(total, 1) * k * span * 8 / hot + 1)))))
     plain = reps.select("rep", "n", "sketch")
 
-    # which lists would be hot: fixed-size bucket counts per tuple length, an upper bound for each list
+    # which lists would be hot: bucket counts per tuple length, an upper bound for each list
     found: list[np.ndarray] = []
     for depth in range(1, deepest):
         held = spark.sparkContext.broadcast(list(found))
 
         def count(batches, depth=depth, held=held):
-            sums = np.zeros(1 << bits, np.int32)
+            some, size = [], 0
             for b in batches:
-                key = keys_of(b, n_kinds, span, held.value, bits, depth)[0]
-                bucket, times = np.unique((key >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                sums[bucket] += times.astype(np.int32)
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at].astype(np.int64))], ["bucket", "n"])
-
-        over = plain.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
-        rows = over.groupBy(F.shiftright("bucket", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("m")).collect()  # at most 2^bits / 64 rows
-        bitset = np.zeros(1 << (bits - 6), np.uint64)
-        for r in rows:
-            bitset[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
-        found.append(bitset.view(np.uint8))
-        if depth > 1 and not rows:
+                some.append(keys_of(b, n_kinds, span, held.value, bits, depth)[0])
+                size += len(some[-1])
+                if size > 2_000_000:
+                    yield tally(np.concatenate(some))
+                    some, size = [], 0
+            if some:
+                yield tally(np.concatenate(some))
+
+        found += over(plain.mapInArrow(count, "bucket long, n long"), [hot], bits)
+        if depth > 1 and not found[-1].any():
             break
     held_hot = spark.sparkContext.broadcast(found)
 
@@ -231,6 +333,18 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
                 yield tell(x, y)
 
     met = lists.mapInArrow(meet, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_lists).select("a", "b")
+
+    def crowded(batches):
+        """Texts with a hot list: pairs of others lose no list."""
+        for b in batches:
+            key, ids, _ = keys_of(b, n_kinds, span, held_hot.value[:1], bits, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[hot_bits(key, held_hot.value[1], bits)]))], ["id"])
+
+    met = met.withColumn("exact", F.lit(False))
+    if len(found) > 1 and found[1].any():
+        among = materialize(plain.mapInArrow(crowded, "id long"), "crowded-ids")
+        met = met.unionByName(exact_candidates(df, among, size, threshold, n_kinds, bits).withColumn("exact", F.lit(True)))
+        met = met.groupBy("a", "b").agg(F.max("exact").alias("exact"))
     met = materialize(met, "met-pairs")
     held_ids = spark.sparkContext.broadcast(id_filter(met.select(F.explode(F.array("a", "b")).alias("id")), 22))
 
@@ -240,12 +354,7 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
             h = [pack(shingles(words(t), size, memo)) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(h, pa.binary())], ["id", "h"])
 
-    def wanted(batches):
-        for b in batches:
-            at = b["bucket"].to_numpy()
-            yield b.filter(pa.array((held_ids.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["id", "text"])
-
-    picked = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id long, text string")
+    picked = in_filter(df, held_ids)
     full = picked.mapInArrow(sets, "id long, h binary")
     # repeated rows of a text must not repeat its pairs
     one = met.join(full.withColumnsRenamed({"id": "a", "h": "ha"}), "a").join(full.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
@@ -253,9 +362,9 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
     def verify(batches):
         for b in batches:
             out = ([], [], [])
-            for i, j, x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), b["ha"].to_pylist(), b["hb"].to_pylist()):
+            for i, j, exact, x, y in zip(*(b[c].to_pylist() for c in ("a", "b", "exact", "ha", "hb"))):
                 x, y = unpack(x), unpack(y)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)) or estimate(x[:k], y[:k], k) < floor:
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) or (not exact and estimate(x[:k], y[:k], k) < floor):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= threshold * (len(x) + len(y) - both):
@@ -264,7 +373,7 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
 
     floor = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
-    sure = one.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, jaccard double").distinct()
+    sure = one.select("a", "b", "exact", "ha", "hb").mapInArrow(verify, "a long, b long, jaccard double").distinct()
     label = F.array(*[F.lit(x) for x in names or [""]])
     whole = lambda c: F.expr(f"({c} - pmod({c}, {n_kinds})) div {n_kinds}") if n_kinds > 1 else F.col(c)
     kind = lambda c: label[F.pmod(c, F.lit(n_kinds)).cast("int")]

@@ -50,6 +50,20 @@ def test_near_duplicates_against_brute_force(spark, hot):
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
 
 
+def test_pairs_of_crowded_values_are_all_found(spark):
+    rnd = random.Random(8)
+    texts = {}
+    for g in range(4):  # 40 texts share most values of their group; many pairs are close to the threshold
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(40):
+            w = list(base)
+            for at in rnd.sample(range(60), rnd.choice([3, 4])):
+                w[at] = f"own{g}x{i}x{at}"
+            texts[g * 100 + i] = " ".join(w)
+    want = pairs_of(texts, 3, 0.5)
+    assert 500 < len(want) < 4 * 40 * 39 / 2 and found(spark, texts.items(), size=3, threshold=0.5) == want
+
+
 def test_near_duplicates_default_words(spark):
     base = " ".join(f"u{i}" for i in range(200))
     texts = {1: base, 2: base.replace("u100", "other"), 3: base.upper() + " !", 4: "short", 5: None, 6: ""}
