@@ -173,14 +173,16 @@ def in_filter(df: DataFrame, held) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id long, text string")
 
 
-def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: float, n_kinds: int, bits: int) -> DataFrame:
+def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: float, n_kinds: int, bits: int, block: int = 2000) -> DataFrame:
     """(a, b): pairs of the texts ``among`` (id), all that are at least ``threshold`` similar and few others.
 
     N-grams are ordered from rare to common. Two sets so similar share one of their first n - ceil(threshold * n) + 1
-    n-grams each, and from the first shared one on enough must be left in both."""
+    n-grams each, and from the first shared one on enough must be left in both. Lists over ``block`` rows are cut into
+    blocks, and every two blocks meet in a task of their own."""
     held = df.sparkSession.sparkContext.broadcast(id_filter(among, 22))
     texts = materialize(in_filter(df, held).join(among, "id", "left_semi").dropDuplicates(["id"]), "crowded-texts")
     eps = 1e-9
+    limits = sorted({1, 20, 200, *(block * 4**i for i in range(7))})
 
     def grams_in(b, memo):
         for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
@@ -193,25 +195,33 @@ def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: floa
             if h:
                 yield tally(np.concatenate(h))
 
-    levels = df.sparkSession.sparkContext.broadcast(over(texts.mapInArrow(count, "bucket long, n long"), [1, 20, 200, 2000, 20000], bits))
+    levels = df.sparkSession.sparkContext.broadcast(over(texts.mapInArrow(count, "bucket long, n long"), limits, bits))
 
     def post(batches):
         memo: dict[str, int] = {}
         for b in batches:
-            out = ([], [], [])
-            for i, h in grams_in(b, memo):
-                level = sum(hot_bits(h, x, bits).astype(np.int8) for x in levels.value)
-                order = np.lexsort((h, level))[: len(h) - int(np.ceil(threshold * len(h) - eps)) + 1]
-                at = np.flatnonzero(level[order])  # what no other text has brings nothing together
-                for col, v in zip(out, (h[order[at]].view(np.int64), np.full(len(at), i, np.int64), at + (len(h) << 32))):
-                    col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "id", "place"])
+            ids, sets = zip(*grams_in(b, memo)) if b.num_rows else ((), ())
+            if not ids:
+                continue
+            n = np.array([len(h) for h in sets], np.int64)
+            h, doc = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            level, at = np.zeros(len(h), np.int64), np.arange(len(h))
+            for x in levels.value:
+                at = at[hot_bits(h[at], x, bits)]
+                level[at] += 1
+            order = np.lexsort((h, level, doc))
+            h, level = h[order], level[order]
+            place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+            # what no other text has brings nothing together
+            use = (place <= (n - np.ceil(threshold * n - eps))[doc]) & (level > 0)
+            blocks = 4 ** np.maximum(0, level - limits.index(block))
+            cols = h.view(np.int64), np.array(ids, np.int64)[doc], place + (n[doc] << 32), blocks
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in cols], ["key", "id", "place", "blocks"])
 
     def meet(batches):
         rest = None
         for b in batches:
-            rows = np.stack([b[c].to_numpy() for c in ("key", "id", "place")])
+            rows = np.stack([b[c].to_numpy() for c in ("key", "id", "place", "side")])
             rest = rows if rest is None else np.concatenate([rest, rows], axis=1)
             if rest.shape[1] and rest[0, 0] != rest[0, -1]:
                 cut = int(np.searchsorted(rest[0], rest[0, -1]))
@@ -234,13 +244,19 @@ def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: floa
                     yield close(rows, (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel())
 
     def close(rows, i, j):
-        (_, a, x), (_, b, y) = rows[:, i], rows[:, j]
+        (_, a, x, r), (_, b, y, s) = rows[:, i], rows[:, j]
         na, nb = x >> 32, y >> 32
         left = np.minimum(na - (x & 0xFFFFFFFF), nb - (y & 0xFFFFFFFF))
-        ok = (a != b) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - eps) & (left >= threshold / (1 + threshold) * (na + nb) - eps)
+        ok = (a != b) & ((r != s) | (r == 0)) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - eps) & (left >= threshold / (1 + threshold) * (na + nb) - eps)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
 
-    lists = texts.mapInArrow(post, "key long, id long, place long").repartition(F.col("key")).sortWithinPartitions("key")
+    rows = texts.mapInArrow(post, "key long, id long, place long, blocks long").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # rows of one block have side 0, those of two blocks sides 1 and 2
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long").alias("side")
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key")
+    rows = rows.select(cell, "id", "place", side)
+    lists = rows.repartition(F.col("key")).sortWithinPartitions("key")
     return lists.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -335,14 +351,17 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
     met = lists.mapInArrow(meet, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_lists).select("a", "b")
 
     def crowded(batches):
-        """Texts with a hot list: pairs of others lose no list."""
+        """Texts with a hot list, for short texts of a single value too: pairs of others lose no list."""
         for b in batches:
-            key, ids, _ = keys_of(b, n_kinds, span, held_hot.value[:1], bits, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[hot_bits(key, held_hot.value[1], bits)]))], ["id"])
+            ids = []
+            for depth, bitset in enumerate(held_hot.value[:2], 1):
+                key, rep, small = keys_of(b, n_kinds, span, held_hot.value[:1], bits, depth)
+                ids.append(rep[hot_bits(key, bitset, bits) & (small | (depth > 1))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)))], ["id"])
 
     met = met.withColumn("exact", F.lit(False))
-    if len(found) > 1 and found[1].any():
-        among = materialize(plain.mapInArrow(crowded, "id long"), "crowded-ids")
+    among = materialize(plain.mapInArrow(crowded, "id long"), "crowded-ids")
+    if not among.isEmpty():
         met = met.unionByName(exact_candidates(df, among, size, threshold, n_kinds, bits).withColumn("exact", F.lit(True)))
         met = met.groupBy("a", "b").agg(F.max("exact").alias("exact"))
     met = materialize(met, "met-pairs")

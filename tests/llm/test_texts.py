@@ -64,6 +64,20 @@ def test_pairs_of_crowded_values_are_all_found(spark):
     assert 500 < len(want) < 4 * 40 * 39 / 2 and found(spark, texts.items(), size=3, threshold=0.5) == want
 
 
+def test_short_texts_of_one_template_are_all_found(spark):
+    texts = {i: f"please find the enclosed invoice number own{i}" for i in range(30)}
+    texts |= {100 + i: f"yours sincerely the {w}" for i, w in enumerate(["team"] + [f"team own{j}" for j in range(30)])}
+    want = pairs_of(texts, 3, 0.5)
+    assert (0, 1) in want and (100, 101) in want and found(spark, texts.items(), size=3, threshold=0.5) == want
+
+
+def test_long_lists_meet_in_blocks(spark):
+    texts = {i: f"please find the enclosed invoice number own{i}" for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = neardup.exact_candidates(df, df.select("id"), 3, 0.5, 1, 12, block=7)
+    assert {(r["a"], r["b"]) for r in got.collect()} == pairs_of(texts, 3, 0.5)
+
+
 def test_near_duplicates_default_words(spark):
     base = " ".join(f"u{i}" for i in range(200))
     texts = {1: base, 2: base.replace("u100", "other"), 3: base.upper() + " !", 4: "short", 5: None, 6: ""}
