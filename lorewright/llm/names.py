@@ -223,13 +223,15 @@ def one_off(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def split_keys(key: str, forms: set[str], longest: int) -> set[str]:
-    """What a spelling may hold as distinctive part next to a form known to go with one, each without one letter."""
+def split_keys(key: str, forms: set[str], near: set[str], longest: int) -> set[str]:
+    """What a spelling may hold as distinctive part next to a form known to go with one, each without one letter.
+
+    near: ``one_off`` of the forms over 3 letters, which may hold an error themselves."""
     out = set()
     for body, _ in bodies(key) | {(key[3:], False)} if key.startswith("the") else bodies(key):
-        for n in range(3, min(longest, len(body) - 3) + 1):
+        for n in range(3, min(longest + 1, len(body) - 3) + 1):
             for form, rest in ((body[:n], body[n:]), (body[-n:], body[:-n])):
-                if form in forms and 3 <= len(rest) <= 14:
+                if 3 <= len(rest) <= 14 and (form in forms or not near.isdisjoint(one_off(form))):
                     out |= one_off(rest)
     return out
 
@@ -277,7 +279,7 @@ def link_names(mentions: DataFrame, entities: DataFrame, most_rounds: int = 8) -
 
     # the forms that go with the names of the table of entities, which is of fixed size; they repeat, so they are fewer than it
     forms = {r["form"] for r in base.select("name", "kind").mapInArrow(forms_of, "form string").distinct().collect()}
-    held = spark.sparkContext.broadcast((forms, max(map(len, forms), default=0)))
+    held = spark.sparkContext.broadcast((forms, {x for f in forms if len(f) > 3 for x in one_off(f)}, max(map(len, forms), default=0)))
 
     def splits(batches):
         for b in batches:

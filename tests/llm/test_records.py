@@ -87,3 +87,12 @@ def test_hot_keys_are_joined_by_broadcast(spark):
     reps = materialize(rows.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n")), "t")
     plain = {tuple(r) for r in rows.join(reps, ["k"]).select("id", "first").collect()}
     assert {tuple(r) for r in join_hot(rows, reps, ["k"], "n", 300, parts=10, least=1).select("id", "first").collect()} == plain and len(plain) == 300
+
+
+def test_one_error_in_each_part_of_a_name_is_met(spark):
+    known = ["Patricia Sodewes", "Susan Cupria", "Matthew Drohaque", "Robert Fegrux"]
+    said = ["Patrsicia Sodswes", "Suan Curpia", "Matrhew Droahque", "Robeert Feirux"]
+    entities = spark.createDataFrame([(i, n, "person") for i, n in enumerate(known)], "entity_id bigint, name string, kind string")
+    mentions = spark.createDataFrame([(names.squash(n),) for n in said], "key string")
+    got = {(r["key"], r["entity_id"]) for r in names.link_names(mentions, entities).collect()}
+    assert got == {(names.squash(n), i) for i, n in enumerate(said)}
