@@ -1,13 +1,16 @@
 """Near-duplicate texts by bottom-k sketches.
 
-One 64-bit hash function orders the distinct word n-grams of a text; the k smallest are its sketch. Inverted lists
-of retained values generate overlaps: a list belongs to two values that stand next to each other (within ``span``)
-in a sketch, so that common n-grams alone bring nothing together. Lists that would be longer than ``hot`` are
-refined by one more retained value, again and again up to ``deepest``, so no value is dropped and none explodes.
-Longer tuples bring fewer pairs together, so texts that share a refined list are also joined exactly, on the rarest
-of all their n-grams (prefix filter): whether a pair is found does not depend on how many other texts share its values.
-Pairs that meet in enough lists are filtered by the similarity estimated on the union of both sketches, then
-verified on the exact n-gram sets. Texts with the same word sequence form a class, of which one member is compared.
+One 64-bit hash function orders the distinct word n-grams of a text; the k smallest are its sketch. Inverted lists of
+retained values generate overlaps. Similar texts share many retained values, so each text is listed under its rarest
+ones only: if two texts must share ``t`` values, the rarest shared one stands among all but the last ``t - 1`` of either
+(prefix filter). A list member brings the rest of its values along as 16-bit marks, so the overlap of two sketches is
+known where they meet, and pairs with less than the overlap that their sizes ask for go no further. What remains is
+filtered by the similarity estimated on the union of both sketches and verified on the exact n-gram sets. Texts with the
+same word sequence form a class, of which one member is compared.
+
+Whether a pair is found does not depend on how many other texts share its values: common values are neither dropped nor
+refined, they only come last in the order. A list over ``block`` rows is cut into blocks that meet pairwise in tasks of
+their own. ``need`` states the overlap asked for; a pair at exactly the threshold falls below it once in a thousand.
 
 Defined cases: null texts and texts with fewer words than an n-gram take no part; repeated rows count once; very
 long texts are used whole; an empty table gives an empty result; other columns are ignored.
@@ -27,8 +30,6 @@ from lorewright.llm.common import join_hot, materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the buckets in which keys are counted: so many that a bucket is as good as one key, whatever the input.
-WIDE = 40
 
 
 def words(text: str) -> list[str]:
@@ -59,80 +60,55 @@ def shingles(w: list[str], size: int, memo: dict[str, int]) -> np.ndarray:
     return np.unique(h)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """The upper five bytes of ascending hashes: two n-grams of a pair of texts fall together once in 10^12."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def digest(w: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(w))
+
+
 def sketches(df: DataFrame, size: int, k: int) -> DataFrame:
-    """(id, whole, n, sketch): a hash of the word sequence, the number of n-grams and the k smallest hashes."""
+    """(kind, id, whole, n, sketch): a hash of the word sequence, the number of n-grams and the k smallest hashes, packed."""
 
     def work(batches):
         memo: dict[str, int] = {}
         for b in batches:
             out = ([], [], [], [])
-            for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
+            for at, text in enumerate(b["text"].to_pylist()):
                 w = words(text)
                 h = shingles(w, size, memo)
                 if len(h):
-                    for col, v in zip(out, (i, xxhash.xxh3_128_digest(" ".join(w)), len(h), h[:k].tobytes())):
+                    for col, v in zip(out, (at, digest(w), len(h), pack(h[:k]))):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["id", "whole", "n", "sketch"])
+            keep = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["kind"].take(keep), b["id"].take(keep), *[pa.array(x, t) for x, t in zip(out[1:], (pa.binary(), pa.int32(), pa.binary()))]], ["kind", "id", "whole", "n", "sketch"])
 
-    return df.select("id", "text").mapInArrow(work, "id long, whole binary, n int, sketch binary")
+    return df.select("kind", "id", "text").mapInArrow(work, "kind string, id long, whole binary, n int, sketch binary")
 
 
-def keys_of(b, n_kinds: int, span: int, hot: list, bits: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The list keys of a batch of sketches (rep, n, sketch): tuples of neighbouring values, one value longer wherever
-    a shorter tuple's list is hot. hot: for each tuple length already counted the bitset of hot buckets. Single values
-    are used by small sets only, whose sketches are too short for neighbours. Returns keys, ids and small flags; with
-    a depth, all tuples of that length that shorter ones ask for, counted or not."""
-    reps, n = b["rep"].to_numpy(), b["n"].to_numpy()
-    held = b["sketch"].to_pylist()
-    count = np.array([len(x) for x in held], np.int64) // 8
-    h = np.frombuffer(b"".join(held), np.uint64)
-    doc = np.repeat(np.arange(len(reps)), count)
-    end, small = np.cumsum(count), n <= 16
-    level, tip = mix((reps % n_kinds + 1).astype(np.uint64)[doc], h), np.arange(len(h))
-    final: list[tuple[np.ndarray, np.ndarray]] = []
-    for d in range(1, len(hot) + 2):
-        if d == depth:
-            return level, reps[doc], small[doc]
-        is_hot = hot_bits(level, hot[d - 1], bits) if d <= len(hot) else np.zeros(len(level), bool)
-        if d == 1:
-            use, grow = small[doc] & (~is_hot | (n <= 2)[doc]), np.ones(len(level), bool)  # neighbours are always asked for
-        else:
-            use, grow = ~is_hot, is_hot
-        final.append((level[use], doc[use]))
-        level, tip, doc = level[grow], tip[grow], doc[grow]
-        parts = []
-        for j in range(1, 7):
-            near = (tip + j < end[doc]) & (small[doc] | (j <= span))
-            parts.append((mix(level[near], h[tip[near] + j]), tip[near] + j, doc[near]))
-        level, tip, doc = (np.concatenate(x) for x in zip(*parts))
-    if not depth:
-        final.append((level, doc))
-    key, doc = (np.concatenate(x) for x in zip(*final))
-    return key, reps[doc], small[doc]
-
-
-def hot_bits(keys: np.ndarray, bitset: np.ndarray, bits: int) -> np.ndarray:
-    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitset[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def tally(keys: np.ndarray) -> pa.RecordBatch:
-    """(bucket, n) of keys."""
-    bucket, n = np.unique((keys >> np.uint64(64 - WIDE)).astype(np.int64), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
-
-
-def over(counts: DataFrame, limits: list[int], bits: int) -> list[np.ndarray]:
-    """For each of the ascending limits a bitset of fixed size: a key counted more often is in it, few others are."""
-    at = F.shiftright("bucket", WIDE - bits)
-    many = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limits[0]).select(at.alias("at"), "n")
-    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    rows = many.groupBy(F.shiftright("at", 6).alias("w")).agg(*[F.bit_or(F.when(F.col("n") > x, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{x}") for x in limits]).collect()  # at most 2^bits / 64 rows
-    out = [np.zeros(1 << (bits - 6), np.uint64) for _ in limits]
-    for r in rows:
-        for x, bitset in zip(limits, out):
-            bitset[r["w"]] = np.uint64(r[f"m{x}"] & 0xFFFFFFFFFFFFFFFF)
-    return [x.view(np.uint8) for x in out]
+def need(na: np.ndarray, nb: np.ndarray, k: int, threshold: float, z: float = 3.1) -> np.ndarray:
+    """How many retained values two texts of na and nb n-grams share at least, if they are similar enough: exact where
+    both sketches hold the whole set, else the number that a pair at the threshold falls below once in a thousand."""
+    hi = np.maximum(na, nb)
+    both = np.ceil(threshold / (1 + threshold) * (na.astype(np.float64) + nb) - 1e-9)
+    p = np.minimum(both / np.maximum(hi, 1), 1.0)
+    drawn = np.floor(k * p - z * np.sqrt(k * p * (1 - p)))
+    return np.where(hi <= k, both, np.clip(drawn, 1, both)).astype(np.int64)
+
+
+def least_need(n: np.ndarray, k: int, threshold: float, z: float = 3.1) -> np.ndarray:
+    """The least of ``need`` over all sizes that a similar text may have."""
+    own = np.ceil(threshold * n - 1e-9)
+    drawn = np.floor(k * threshold - z * np.sqrt(k * threshold * (1 - threshold)))
+    return np.maximum(np.where(np.floor(n / threshold + 1e-9) <= k, own, np.minimum(own, drawn)), 1).astype(np.int64)
 
 
 def estimate(sa: np.ndarray, sb: np.ndarray, k: int) -> float:
@@ -141,280 +117,284 @@ def estimate(sa: np.ndarray, sb: np.ndarray, k: int) -> float:
     return np.isin(u, np.intersect1d(sa, sb), assume_unique=True).mean()
 
 
-def pack(h: np.ndarray) -> bytes:
-    """The upper five bytes of ascending hashes: two n-grams of a pair of texts fall together once in 10^12."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
+def values_of(b) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a batch of sketches (kind, sketch), 40 bits of each retained value with its kind, and their rows."""
+    held = b["sketch"].to_pylist()
+    count = np.array([len(x) for x in held], np.int64) // 5
+    row = np.repeat(np.arange(len(held)), count)
+    seed = {x: xxhash.xxh3_64_intdigest(x) for x in set(b["kind"].to_pylist())}
+    kind = np.array([seed[x] for x in b["kind"].to_pylist()], np.uint64)
+    return (mix(kind[row], unpack(b"".join(held))) >> np.uint64(24)).astype(np.int64), row
 
-def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
 
+def heavy_values(plain: DataFrame, share: int = 1000, least: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys that more than a ``share``-th of all texts hold, with a count for each (at least half of the true one).
 
-def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitset of fixed size over the hashes of the ids: an id that is in it may be in the table, others are not."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    rows = ids.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    for r in rows.collect():  # at most 2^bits / 64 rows
-        out[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
-    return out
+    Every stretch of texts tells the keys that a (2 * share)-th of it holds, so no key of that many texts is missed and
+    at most 2 * share * k keys are kept, whatever the input."""
 
+    def count(batches):
+        some, rows = [], 0
 
-def in_filter(df: DataFrame, held) -> DataFrame:
-    """The rows (id, text) whose id may be in a broadcast bitset of ``id_filter`` of 22 bits."""
+        def told():
+            key, n = np.unique(np.concatenate(some), return_counts=True)
+            use = n >= max(rows / (2 * share), 2)
+            return pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(n[use].astype(np.int64))], ["key", "n"])
 
-    def wanted(batches):
         for b in batches:
-            at = b["bucket"].to_numpy()
-            yield b.filter(pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["id", "text"])
+            some.append(values_of(b)[0])
+            rows += b.num_rows
+            if rows >= 50_000:
+                yield told()
+                some, rows = [], 0
+        if rows:
+            yield told()
 
-    return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id long, text string")
+    total = plain.count()
+    counts = plain.select("kind", "sketch").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= max(least, total / (2 * share))).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def exact_candidates(df: DataFrame, among: DataFrame, size: int, threshold: float, n_kinds: int, bits: int, block: int = 2000) -> DataFrame:
-    """(a, b): pairs of the texts ``among`` (id), all that are at least ``threshold`` similar and few others.
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins and how long it is."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
 
-    N-grams are ordered from rare to common. Two sets so similar share one of their first n - ceil(threshold * n) + 1
-    n-grams each, and from the first shared one on enough must be left in both. Lists over ``block`` rows are cut into
-    blocks, and every two blocks meet in a task of their own."""
-    held = df.sparkSession.sparkContext.broadcast(id_filter(among, 22))
-    texts = materialize(in_filter(df, held).join(among, "id", "left_semi").dropDuplicates(["id"]), "crowded-texts")
-    eps = 1e-9
-    limits = sorted({1, 20, 200, *(block * 4**i for i in range(7))})
 
-    def grams_in(b, memo):
-        for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
-            yield i, mix(np.array([i % n_kinds + 1], np.uint64), shingles(words(text), size, memo))
+def counted(plain: DataFrame, heavy) -> DataFrame:
+    """(num, key, df): the retained values of each text that other texts hold too, with the number of texts that do.
+
+    Rows are spread by key; rows of heavy keys, whose count is known, by text."""
+
+    def post(batches):
+        for b in batches:
+            key, row = values_of(b)
+            num = b["num"].to_numpy()[row]
+            at = np.searchsorted(heavy.value[0], key).clip(0, max(len(heavy.value[0]) - 1, 0))
+            known = heavy.value[0][at] == key if len(heavy.value[0]) else np.zeros(len(key), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(num), pa.array(np.where(known, heavy.value[1][at] if len(heavy.value[1]) else 0, 0))], ["key", "num", "df"])
+
+    def told(key, num, df):
+        return pa.RecordBatch.from_arrays([pa.array(num), pa.array(key), pa.array(df)], ["num", "key", "df"])
 
     def count(batches):
-        memo: dict[str, int] = {}
+        key, num = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            h = [h for _, h in grams_in(b, memo)]
-            if h:
-                yield tally(np.concatenate(h))
+            k, m, d = (b[c].to_numpy() for c in ("key", "num", "df"))
+            yield told(k[d > 0], m[d > 0], d[d > 0])
+            key, num = np.concatenate([key, k[d == 0]]), np.concatenate([num, m[d == 0]])
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield from lists(key[:cut], num[:cut])
+            key, num = key[cut:], num[cut:]
+        yield from lists(key, num)
+
+    def lists(key, num):
+        if len(key):
+            _, n = runs(key)
+            n = np.repeat(n, n)
+            yield told(key[n > 1], num[n > 1], n[n > 1])
 
-    levels = df.sparkSession.sparkContext.broadcast(over(texts.mapInArrow(count, "bucket long, n long"), limits, bits))
+    rows = plain.select("num", "kind", "sketch").mapInArrow(post, "key long, num long, df long")
+    placed = rows.repartition(F.when(F.col("df") > 0, F.xxhash64("num")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    return placed.mapInArrow(count, "num long, key long, df long")
 
-    def post(batches):
-        memo: dict[str, int] = {}
+
+def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) -> DataFrame:
+    """(a, b): the pairs of texts (num, kind, n, sketch) whose sketches overlap as much as ``need`` asks for; may repeat."""
+    spark = plain.sparkSession
+    held = spark.sparkContext.broadcast(heavy_values(plain))  # bounded, see there
+    sized = counted(plain, held).join(plain.select("num", "n").hint("shuffle_merge"), "num").select("num", "n", "key", "df").sortWithinPartitions("num")
+
+    def prefixes(batches):
+        rest = None
         for b in batches:
-            ids, sets = zip(*grams_in(b, memo)) if b.num_rows else ((), ())
-            if not ids:
-                continue
-            n = np.array([len(h) for h in sets], np.int64)
-            h, doc = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
-            level, at = np.zeros(len(h), np.int64), np.arange(len(h))
-            for x in levels.value:
-                at = at[hot_bits(h[at], x, bits)]
-                level[at] += 1
-            order = np.lexsort((h, level, doc))
-            h, level = h[order], level[order]
-            place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
-            # what no other text has brings nothing together
-            use = (place <= (n - np.ceil(threshold * n - eps))[doc]) & (level > 0)
-            blocks = 4 ** np.maximum(0, level - limits.index(block))
-            cols = h.view(np.int64), np.array(ids, np.int64)[doc], place + (n[doc] << 32), blocks
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in cols], ["key", "id", "place", "blocks"])
+            rows = np.stack([b[c].to_numpy().astype(np.int64) for c in ("num", "n", "key", "df")])
+            rest = rows if rest is None else np.concatenate([rest, rows], axis=1)
+            cut = int(np.searchsorted(rest[0], rest[0, -1])) if rest.shape[1] else 0
+            yield from posted(rest[:, :cut])
+            rest = rest[:, cut:]
+        if rest is not None:
+            yield from posted(rest)
+
+    def posted(rows):
+        rows = rows[:, np.lexsort((rows[2], rows[3], rows[0]))]
+        num, n, key, df = rows
+        starts, s = runs(num)
+        if not len(starts):
+            return
+        left = np.repeat(s + starts, s) - np.arange(len(num))
+        use = np.flatnonzero(left >= least_need(n, k, threshold))
+        mark = ((key >> 8) % 65534 + 1).astype("<u2").tobytes()
+        fp = [mark[2 * i : 2 * (i + m)] for i, m in zip(use.tolist(), left[use].tolist())]
+        cols = [pa.array(key[use]), pa.array(num[use]), pa.array(n[use].astype(np.int32)), pa.array(-(-df[use] // block)), pa.array(fp, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "num", "n", "blocks", "marks"])
+
+    rows = sized.mapInArrow(prefixes, "key long, num long, n int, blocks long, marks binary")
+    own = F.pmod(F.xxhash64("num"), "blocks")
+    # rows of one block have side 0, those of two blocks sides 1 and 2
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("tinyint").alias("side")
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key")
+    lists = rows.select(cell, "num", "n", side, "marks").repartition(F.col("key")).sortWithinPartitions("key")
 
     def meet(batches):
         rest = None
         for b in batches:
-            rows = np.stack([b[c].to_numpy() for c in ("key", "id", "place", "side")])
-            rest = rows if rest is None else np.concatenate([rest, rows], axis=1)
-            if rest.shape[1] and rest[0, 0] != rest[0, -1]:
-                cut = int(np.searchsorted(rest[0], rest[0, -1]))
-                yield from lists_of(rest[:, :cut])
-                rest = rest[:, cut:]
-        if rest is not None and rest.shape[1]:
-            yield from lists_of(rest)
-
-    def lists_of(rows):
-        ends = np.flatnonzero(np.append(rows[0, 1:] != rows[0, :-1], True)) + 1
-        starts = np.append(0, ends[:-1])
-        length = ends - starts
+            rows = np.stack([b[c].to_numpy().astype(np.int64) for c in ("key", "num", "n", "side")]), b["marks"].to_pylist()
+            rest = rows if rest is None else (np.concatenate([rest[0], rows[0]], axis=1), rest[1] + rows[1])
+            cut = int(np.searchsorted(rest[0][0], rest[0][0, -1])) if rest[0].shape[1] else 0
+            if cut:
+                yield from overlaps(rest[0][:, :cut], rest[1][:cut])
+                rest = rest[0][:, cut:], rest[1][cut:]
+        if rest is not None and rest[0].shape[1]:
+            yield from overlaps(*rest)
+
+    def overlaps(rows, marks, step=500_000):
+        starts, length = runs(rows[0])
+        if not (length > 1).any():
+            return
+        size = np.array([len(x) for x in marks], np.int64) // 2
+        flat = np.frombuffer(b"".join(marks), "<u2")
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        padded = np.zeros((len(size), int(size.max())), np.uint16)
+        padded[row, place] = flat
+        bits = np.zeros((len(size), 256), bool)
+        bits[row, flat & 255] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        lost = size - np.bitwise_count(bits).sum(1)  # marks that share a bit with another one of the text
+        _, num, n, side = rows
         for m in np.unique(length[length > 1]):
-            at, few = starts[length == m], min(m, 512)
-            step = max(1, 500_000 // int(few * m))
-            for lo in range(0, len(at), step):
+            at = starts[length == m]
+            few = max(1, min(m, step // m))
+            many = max(1, step // (few * m))
+            for lo in range(0, len(at), many):
                 for x in range(0, m, few):  # a long list meets itself part by part
                     i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + few, m)), np.arange(m), indexing="ij"))
                     i, j = i[i < j], j[i < j]
-                    yield close(rows, (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel())
+                    a, b = (at[lo : lo + many, None] + i).ravel(), (at[lo : lo + many, None] + j).ravel()
+                    na, nb = n[a], n[b]
+                    ok = (num[a] != num[b]) & ((side[a] != side[b]) | (side[a] == 0)) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
+                    a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
+                    least = need(na, nb, k, threshold)
+                    ok = np.minimum(size[a], size[b]) >= least
+                    a, b, least = a[ok], b[ok], least[ok]
+                    ok = np.bitwise_count(bits[a] & bits[b]).sum(1) + np.minimum(lost[a], lost[b]) >= least
+                    a, b, least = a[ok], b[ok], least[ok]
+                    for y in range(0, len(a), 20_000):
+                        p, q = a[y : y + 20_000], b[y : y + 20_000]
+                        same = ((padded[p][:, :, None] == padded[q][:, None, :]) & (padded[p] > 0)[:, :, None]).any(2).sum(1)
+                        p, q = p[same >= least[y : y + 20_000]], q[same >= least[y : y + 20_000]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(num[p], num[q])), pa.array(np.maximum(num[p], num[q]))], ["a", "b"])
+
+    return lists.mapInArrow(meet, "a long, b long")
+
+
+def id_filter(ids: DataFrame, bits: int = 22) -> np.ndarray:
+    """A bitset of fixed size over the hashes of (kind, id): saves shuffling most texts that are not needed; never decides."""
+    bucket = F.pmod(F.xxhash64("kind", "id"), F.lit(1 << bits))
+    rows = ids.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in rows.collect():  # at most 2^bits / 64 rows
+        out[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
+    return out
 
-    def close(rows, i, j):
-        (_, a, x, r), (_, b, y, s) = rows[:, i], rows[:, j]
-        na, nb = x >> 32, y >> 32
-        left = np.minimum(na - (x & 0xFFFFFFFF), nb - (y & 0xFFFFFFFF))
-        ok = (a != b) & ((r != s) | (r == 0)) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - eps) & (left >= threshold / (1 + threshold) * (na + nb) - eps)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
 
-    rows = texts.mapInArrow(post, "key long, id long, place long, blocks long").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # rows of one block have side 0, those of two blocks sides 1 and 2
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long").alias("side")
-    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key")
-    rows = rows.select(cell, "id", "place", side)
-    lists = rows.repartition(F.col("key")).sortWithinPartitions("key")
-    return lists.mapInArrow(meet, "a long, b long").distinct()
+def in_filter(df: DataFrame, held, bits: int = 22) -> DataFrame:
+    """The rows (kind, id, text) whose id may be in a broadcast bitset of ``id_filter``."""
+
+    def wanted(batches):
+        for b in batches:
+            at = b["bucket"].to_numpy()
+            yield b.filter(pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["kind", "id", "text"])
+
+    return df.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(1 << bits))).mapInArrow(wanted, "kind string, id long, text string")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, span: int = 2, hot: int = 20, deepest: int = 5, least_lists: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, block: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies) for a table (kind, id, text): pairs (kind, a, b, jaccard) of class representatives that are at
-    least ``threshold`` similar, and copies
-    (kind, id, rep) with one row per text of a class of several; a text without such a row is its own class."""
+    least ``threshold`` similar, and copies (kind, id, rep) with one row per text of a class of several; a text without
+    such a row is its own class."""
     spark = df.sparkSession
     df = df.select("kind", F.col("id").cast("long").alias("id"), "text").filter("kind is not null and id is not null and text is not null")
-    names = sorted(r["kind"] for r in df.select("kind").distinct().collect())  # kinds of item, a handful
-    number = F.create_map([x for i, k_ in enumerate(names) for x in (F.lit(k_), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
-    n_kinds = max(1, len(names))
-    # one number for kind and id
-    df = df.select((F.col("id") * n_kinds + number[F.col("kind")]).alias("id"), "text")
     drawn = materialize(sketches(spread(df), size, k), "sketches")
-    classes = drawn.groupBy(F.pmod("id", F.lit(n_kinds)).alias("kn"), "whole").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("members"))
-    reps = materialize(classes.select("kn", "whole", "rep", "last", "members", "s.n", "s.sketch"), "sketch-classes")
-    total = reps.count()
-    bits = int(min(24, max(12, np.ceil(np.log2(max(total, 1) * k * span * 8 / hot + 1)))))
-    plain = reps.select("rep", "n", "sketch")
-
-    # which lists would be hot: bucket counts per tuple length, an upper bound for each list
-    found: list[np.ndarray] = []
-    for depth in range(1, deepest):
-        held = spark.sparkContext.broadcast(list(found))
-
-        def count(batches, depth=depth, held=held):
-            some, size = [], 0
-            for b in batches:
-                some.append(keys_of(b, n_kinds, span, held.value, bits, depth)[0])
-                size += len(some[-1])
-                if size > 2_000_000:
-                    yield tally(np.concatenate(some))
-                    some, size = [], 0
-            if some:
-                yield tally(np.concatenate(some))
-
-        found += over(plain.mapInArrow(count, "bucket long, n long"), [hot], bits)
-        if depth > 1 and not found[-1].any():
-            break
-    held_hot = spark.sparkContext.broadcast(found)
-
-    def post(batches):
-        for b in batches:
-            key, ids, small = keys_of(b, n_kinds, span, held_hot.value, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids * 2 + small)], ["key", "id"])
-
-    lists = plain.mapInArrow(post, "key long, id long").repartition(F.col("key")).sortWithinPartitions("key")
-
-    def tell(x, y):
-        weight = np.where((x & 1) | (y & 1), least_lists, 1).astype(np.int32)  # short texts need meet only once
-        x, y = x >> 1, y >> 1
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(weight)], ["a", "b", "n"])
-
-    def pairs_in(ids, step=1024):
-        for lo in range(0, len(ids), step):
-            part = ids[lo : lo + step]
-            i, j = np.triu_indices(len(part), 1)
-            yield part[i], part[j]
-            for at in range(0, lo, step):
-                yield np.repeat(ids[at : at + step], len(part)), np.tile(part, len(ids[at : at + step]))
-
-    def meet(batches):
-        """Rows come sorted by list; a list is a few rows unless its members agree in ``deepest`` values."""
-        key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in batches:
-            key = np.concatenate([key, b["key"].to_numpy()])
-            ids = np.concatenate([ids, b["id"].to_numpy()])
-            if not len(key) or key[0] == key[-1]:
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            yield from lists_of(key[:cut], ids[:cut])
-            key, ids = key[cut:], ids[cut:]
-        if len(key):
-            yield from lists_of(key, ids)
-
-    def lists_of(key, ids):
-        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
-        starts = np.append(0, ends[:-1])
-        length = ends - starts
-        for m in np.unique(length[(length > 1) & (length <= 64)]):
-            at = starts[length == m]
-            i, j = np.triu_indices(m, 1)
-            step = max(1, 500_000 // len(i))
-            for lo in range(0, len(at), step):
-                rows = ids[at[lo : lo + step, None] + np.arange(m)]
-                yield tell(rows[:, i].ravel(), rows[:, j].ravel())
-        for s, e in zip(starts[length > 64], ends[length > 64]):
-            for x, y in pairs_in(ids[s:e]):
-                yield tell(x, y)
-
-    met = lists.mapInArrow(meet, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_lists).select("a", "b")
-
-    def crowded(batches):
-        """Texts with a hot list, for short texts of a single value too: pairs of others lose no list."""
-        for b in batches:
-            ids = []
-            for depth, bitset in enumerate(held_hot.value[:2], 1):
-                key, rep, small = keys_of(b, n_kinds, span, held_hot.value[:1], bits, depth)
-                ids.append(rep[hot_bits(key, bitset, bits) & (small | (depth > 1))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)))], ["id"])
-
-    met = met.withColumn("exact", F.lit(False))
-    among = materialize(plain.mapInArrow(crowded, "id long"), "crowded-ids")
-    if not among.isEmpty():
-        met = met.unionByName(exact_candidates(df, among, size, threshold, n_kinds, bits).withColumn("exact", F.lit(True)))
-        met = met.groupBy("a", "b").agg(F.max("exact").alias("exact"))
-    met = materialize(met, "met-pairs")
-    held_ids = spark.sparkContext.broadcast(id_filter(met.select(F.explode(F.array("a", "b")).alias("id")), 22))
+    classes = drawn.groupBy("kind", "whole").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("members"))
+    # classes are numbered as they are written
+    reps = materialize(classes.select(F.monotonically_increasing_id().alias("num"), "kind", "whole", "rep", "last", "members", "s.n", "s.sketch"), "sketch-classes")
+    met = materialize(candidates(reps.select("num", "kind", "n", "sketch"), k, threshold, block).distinct(), "met-pairs")
+    asked = met.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    wanted = materialize(reps.select("num", "kind", F.col("rep").alias("id"), "whole").join(asked, "num", "left_semi"), "met-texts")
+    held = spark.sparkContext.broadcast(id_filter(wanted))
 
     def sets(batches):
         memo: dict[str, int] = {}
         for b in batches:
-            h = [pack(shingles(words(t), size, memo)) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(h, pa.binary())], ["id", "h"])
+            w = [words(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["kind"], b["id"], pa.array([digest(x) for x in w], pa.binary()), pa.array([pack(shingles(x, size, memo)) for x in w], pa.binary())], ["kind", "id", "whole", "h"])
 
-    picked = in_filter(df, held_ids)
-    full = picked.mapInArrow(sets, "id long, h binary")
-    # repeated rows of a text must not repeat its pairs
-    one = met.join(full.withColumnsRenamed({"id": "a", "h": "ha"}), "a").join(full.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
+    full = in_filter(df, held).mapInArrow(sets, "kind string, id long, whole binary, h binary").join(wanted, ["kind", "id", "whole"]).select("num", "kind", "id", "h")
+    one = met.join(full.withColumnsRenamed({"num": "a", "h": "ha", "id": "ia"}), "a").join(full.select(F.col("num").alias("b"), F.col("h").alias("hb"), F.col("id").alias("ib")), "b")
 
     def verify(batches):
         for b in batches:
-            out = ([], [], [])
-            for i, j, exact, x, y in zip(*(b[c].to_pylist() for c in ("a", "b", "exact", "ha", "hb"))):
+            out = ([], [])
+            for at, (x, y) in enumerate(zip(b["ha"].to_pylist(), b["hb"].to_pylist())):
                 x, y = unpack(x), unpack(y)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)) or (not exact and estimate(x[:k], y[:k], k) < floor):
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) or estimate(x[:k], y[:k], k) < floor:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= threshold * (len(x) + len(y) - both):
-                    for col, v in zip(out, (i, j, both / (len(x) + len(y) - both))):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
+                    out[0].append(at)
+                    out[1].append(both / (len(x) + len(y) - both))
+            keep = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["kind"].take(keep), b["ia"].take(keep), b["ib"].take(keep), pa.array(out[1], pa.float64())], ["kind", "a", "b", "jaccard"])
 
     floor = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
-    sure = one.select("a", "b", "exact", "ha", "hb").mapInArrow(verify, "a long, b long, jaccard double").distinct()
-    label = F.array(*[F.lit(x) for x in names or [""]])
-    whole = lambda c: F.expr(f"({c} - pmod({c}, {n_kinds})) div {n_kinds}") if n_kinds > 1 else F.col(c)
-    kind = lambda c: label[F.pmod(c, F.lit(n_kinds)).cast("int")]
-    pairs = sure.select(kind("a").alias("kind"), whole("a").alias("a"), whole("b").alias("b"), "jaccard")
-    many = reps.filter("rep <> last").select("kn", "whole", "rep", "members")
-    named = drawn.select("id", "whole", F.pmod("id", F.lit(n_kinds)).alias("kn"))
-    rows = drawn.count()
-    copies = join_hot(named, many, ["kn", "whole"], "members", rows).select(kind("id").alias("kind"), whole("id").alias("id"), whole("rep").alias("rep")).distinct()
+    sure = one.select("kind", "ia", "ib", "ha", "hb").mapInArrow(verify, "kind string, a long, b long, jaccard double")
+    # repeated rows of a text must not repeat its pairs
+    pairs = sure.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
+    many = reps.filter("rep <> last").select("kind", "whole", "rep", "members")
+    copies = join_hot(drawn.select("kind", "id", "whole"), many, ["kind", "whole"], "members", drawn.count()).select("kind", "id", "rep").distinct()
     return pairs, copies
 
 
-def expanded(pairs: DataFrame, copies: DataFrame, full_class: int = 64) -> DataFrame:
+def expanded(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """(kind, a, b): the pairs of representatives written out for the members of their classes, and the pairs within
-    classes. Classes over ``full_class`` members are linked through their representative only."""
-    sizes = copies.groupBy("kind", "rep").count()
-    small = copies.join(sizes.filter(F.col("count") <= full_class).select("kind", "rep"), ["kind", "rep"])
+    classes: one row per pair of items, so as many as the square of a class has. ``near_duplicates`` itself and ``groups``
+    stay linear in the size of a class."""
     out = pairs.select("kind", "a", "b")
     for c in ("a", "b"):
-        m = small.select("kind", F.col("rep").alias(c), F.col("id").alias("m"))
+        m = copies.select("kind", F.col("rep").alias(c), F.col("id").alias("m"))
         out = out.join(m, ["kind", c], "left").withColumn(c, F.coalesce("m", c)).drop("m")
-    x, y = small.alias("x"), small.alias("y")
+    x, y = copies.alias("x"), copies.alias("y")
     within = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select("x.kind", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    star = copies.join(sizes.filter(F.col("count") > full_class).select("kind", "rep"), ["kind", "rep"]).filter("id <> rep").select("kind", F.col("rep").alias("a"), F.col("id").alias("b"))
-    every = out.unionByName(within).unionByName(star)
-    return every.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.unionByName(within).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(kind, id, top) for links (kind, a, b): the smallest id that each linked item can reach, by alternating large and
+    small stars, each round written before the next."""
+    links = materialize(edges.select("kind", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    while True:
+        both = links.unionByName(links.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("kind", "a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = both.filter("b > a").join(low, ["kind", "a"]).select("kind", F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("kind", "a").agg(F.min("b").alias("low"))
+        small = large.join(low, ["kind", "a"]).select("kind", F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
+        new = materialize(small.filter("a <> b").distinct(), "links")
+        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
+            return new.select("kind", F.col("a").alias("id"), F.col("b").alias("top"))
+        links = new
+
+
+def groups(df: DataFrame, pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(kind, id, group, links): one row per item with the smallest id that similar texts lead to from it, and the number
+    of different texts it is similar to. Items without a similar text are their own group."""
+    pairs = materialize(pairs, "pairs")
+    top = components(pairs)
+    degree = pairs.select("kind", F.explode(F.array("a", "b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("links"))
+    items = df.select("kind", F.col("id").cast("long").alias("id")).filter("kind is not null and id is not null").distinct()
+    known = items.join(copies, ["kind", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    known = known.join(top.withColumnRenamed("id", "rep"), ["kind", "rep"], "left").join(degree, ["kind", "rep"], "left")
+    return known.select("kind", "id", F.coalesce("top", "rep").alias("group"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -33,6 +33,11 @@ SHINGLES = """w AS (SELECT DISTINCT ON (kind, id) kind, id, regexp_extract_all(l
   c AS (SELECT kind, id, count(*) AS n FROM s GROUP BY ALL),
   j AS (SELECT x.kind, x.id AS a_id, y.id AS b_id, count(*) AS both_ FROM s x JOIN s y ON x.kind = y.kind AND x.g = y.g AND x.id < y.id GROUP BY ALL)"""
 
+#: Classes of texts with the same words, and the similar pairs of their first members.
+CLASSES = f"""{SHINGLES},
+  k AS (SELECT kind, id, min(id) OVER q AS rep, count(*) OVER q AS members FROM w WHERE len(ws) >= 3 WINDOW q AS (PARTITION BY kind, array_to_string(ws, ' '))),
+  p AS (SELECT j.kind, a_id, b_id, both_ / (x.n + y.n - both_) AS jaccard FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id JOIN k ka ON ka.kind = j.kind AND ka.id = a_id AND ka.rep = a_id JOIN k kb ON kb.kind = j.kind AND kb.id = b_id AND kb.rep = b_id WHERE 2 * both_ >= x.n + y.n - both_)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -42,5 +47,12 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {FACTS} SELECT first_seq, triple_seq AS copy_seq FROM n WHERE triple_seq <> first_seq",
         "p5_facts": f"WITH {FACTS} SELECT first_seq, count(*) AS copies FROM n GROUP BY first_seq",
         "p7_found": f"WITH {SHINGLES} SELECT j.kind AS item_kind, a_id, b_id FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id WHERE 2 * both_ >= x.n + y.n - both_",
+        "p7_pairs": f"WITH {CLASSES} SELECT kind AS item_kind, a_id, b_id, round(jaccard, 6) AS jaccard FROM p",
+        "p7_members": f"WITH {CLASSES} SELECT kind AS item_kind, id AS item_id, rep AS rep_id FROM k WHERE members > 1",
+        "p7_groups": f"""WITH RECURSIVE {CLASSES}, e AS (SELECT kind, a_id AS a, b_id AS b FROM p UNION SELECT kind, b_id, a_id FROM p),
+          r AS (SELECT kind, a AS id, a AS top FROM e UNION SELECT r.kind, r.id, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.top),
+          t AS (SELECT kind, id, min(top) AS top FROM r GROUP BY ALL), n AS (SELECT kind, a AS id, count(*) AS links FROM e GROUP BY ALL),
+          i AS (SELECT DISTINCT 'file' AS kind, file_id AS id FROM source_files WHERE file_id IS NOT NULL UNION SELECT DISTINCT 'chunk', chunk_seq FROM chunks WHERE chunk_seq IS NOT NULL)
+          SELECT i.kind AS item_kind, i.id AS item_id, coalesce(t.top, k.rep, i.id) AS group_id, coalesce(n.links, 0) AS links FROM i LEFT JOIN k ON k.kind = i.kind AND k.id = i.id LEFT JOIN t ON t.kind = i.kind AND t.id = coalesce(k.rep, i.id) LEFT JOIN n ON n.kind = i.kind AND n.id = coalesce(k.rep, i.id)""",
         "p8_decoded": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
     }

@@ -34,6 +34,28 @@ def p7_found(spark, d):
     return expanded(pairs, copies).select(F.col("kind").alias("item_kind"), F.col("a").alias("a_id"), F.col("b").alias("b_id"))
 
 
+def p7_pairs(spark, d):
+    from lorewright.llm.neardup import near_duplicates
+
+    pairs = near_duplicates(p7_items(spark, d), size=3, threshold=0.5)[0]
+    return pairs.select(F.col("kind").alias("item_kind"), F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p7_members(spark, d):
+    from lorewright.llm.neardup import near_duplicates
+
+    copies = near_duplicates(p7_items(spark, d), size=3, threshold=0.5)[1]
+    return copies.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("rep").alias("rep_id"))
+
+
+def p7_groups(spark, d):
+    from lorewright.llm.neardup import groups, near_duplicates
+
+    items = p7_items(spark, d)
+    got = groups(items, *near_duplicates(items, size=3, threshold=0.5))
+    return got.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
+
+
 def p2_found(spark, d):
     from lorewright.llm.ranking import first_in_group
 

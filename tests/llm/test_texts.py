@@ -43,10 +43,10 @@ def corpus(n, seed):
     return out
 
 
-@pytest.mark.parametrize("hot", [20, 3])
-def test_near_duplicates_against_brute_force(spark, hot):
-    texts = corpus(240, hot)
-    want, got = pairs_of(texts, 3, 0.5), found(spark, texts.items(), size=3, threshold=0.5, hot=hot)
+@pytest.mark.parametrize("block", [2000, 6])
+def test_near_duplicates_against_brute_force(spark, block):
+    texts = corpus(240, block)
+    want, got = pairs_of(texts, 3, 0.5), found(spark, texts.items(), size=3, threshold=0.5, block=block)
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
 
 
@@ -71,11 +71,33 @@ def test_short_texts_of_one_template_are_all_found(spark):
     assert (0, 1) in want and (100, 101) in want and found(spark, texts.items(), size=3, threshold=0.5) == want
 
 
-def test_long_lists_meet_in_blocks(spark):
+@pytest.mark.parametrize("block", [7, 2000])
+def test_long_lists_meet_in_blocks(spark, block):
     texts = {i: f"please find the enclosed invoice number own{i}" for i in range(60)}
-    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    got = neardup.exact_candidates(df, df.select("id"), 3, 0.5, 1, 12, block=7)
-    assert {(r["a"], r["b"]) for r in got.collect()} == pairs_of(texts, 3, 0.5)
+    assert found(spark, texts.items(), size=3, threshold=0.5, block=block) == pairs_of(texts, 3, 0.5)
+
+
+def test_heavy_values_are_counted_apart(spark, monkeypatch):
+    texts = corpus(240, 5)
+    texts |= {1000 + i: f"please find the enclosed invoice number own{i}" for i in range(30)}
+    told = neardup.heavy_values
+    monkeypatch.setattr(neardup, "heavy_values", lambda plain: told(plain, share=20, least=5))
+    want = pairs_of(texts, 3, 0.5)
+    got = found(spark, texts.items(), size=3, threshold=0.5)
+    assert got <= want and len(got) >= 0.99 * len(want) and {(1000, 1000 + i) for i in range(1, 30)} <= got
+
+
+def test_overlap_asked_for_is_rarely_missed():
+    rng = neardup.np.random.default_rng(2)
+    missed = 0
+    for _ in range(3000):  # pairs at exactly the threshold, of all proportions
+        both, a, b = 60, *(lambda x: (x, 60 - x))(int(rng.integers(0, 61)))
+        v = rng.permutation(1 << 20)[: both + a + b]
+        x, y = neardup.np.sort(v[: both + a])[:32], neardup.np.sort(neardup.np.concatenate([v[:both], v[both + a :]]))[:32]
+        n = neardup.np.array([both + a]), neardup.np.array([both + b])
+        missed += len(neardup.np.intersect1d(x, y)) < neardup.need(*n, 32, 0.5)[0]
+        assert neardup.least_need(n[0], 32, 0.5)[0] <= neardup.need(*n, 32, 0.5)[0]
+    assert missed <= 9
 
 
 def test_near_duplicates_default_words(spark):
@@ -91,10 +113,24 @@ def test_common_phrases_bring_nothing_together(spark):
     assert found(spark, texts.items(), size=3, threshold=0.5) == set()
 
 
-def test_large_class_of_copies_is_linked(spark):
+def test_large_classes_of_copies(spark):
     texts = [(i, "one and the same text for all of these rows") for i in range(80)] + [(100, "one and the same text for all of these lines")]
-    got = found(spark, texts, size=3, threshold=0.5)
-    assert {(0, i) for i in range(1, 80)} <= got and (0, 100) in got
+    every = {(a, b) for a in range(80) for b in range(a + 1, 80)} | {(i, 100) for i in range(80)}
+    assert found(spark, texts, size=3, threshold=0.5) == every
+    df = spark.createDataFrame([("x", i, t) for i, t in texts], "kind string, id bigint, text string")
+    pairs, copies = near_duplicates(df, size=3, threshold=0.5)
+    assert [tuple(r)[:3] for r in pairs.collect()] == [("x", 0, 100)] and {(r["id"], r["rep"]) for r in copies.collect()} == {(i, 0) for i in range(80)}
+
+
+def test_groups_follow_chains(spark):
+    w = [f"u{i}" for i in range(120)]
+    texts = {i: " ".join(w[5 * i : 5 * i + 40]) for i in range(12)}  # each is like the next only
+    texts |= {50: "a text like none of the others at all", 51: texts[3], 52: None}
+    df = spark.createDataFrame([("x", i, t) for i, t in texts.items()], "kind string, id bigint, text string")
+    got = {r["id"]: (r["group"], r["links"]) for r in neardup.groups(df, *near_duplicates(df, size=3, threshold=0.5)).collect()}
+    want = pairs_of({i: t for i, t in texts.items() if i != 51}, 3, 0.5)
+    assert {i: g for i, (g, _) in got.items()} == {i: 0 if i < 12 or i == 51 else i for i in texts}
+    assert all(n == sum(i in p for p in want) for i, (_, n) in got.items() if i < 12) and got[51] == got[3]
 
 
 def test_kinds_are_kept_apart(spark):
