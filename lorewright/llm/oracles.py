@@ -38,6 +38,28 @@ CLASSES = f"""{SHINGLES},
   k AS (SELECT kind, id, min(id) OVER q AS rep, count(*) OVER q AS members FROM w WHERE len(ws) >= 3 WINDOW q AS (PARTITION BY kind, array_to_string(ws, ' '))),
   p AS (SELECT j.kind, a_id, b_id, both_ / (x.n + y.n - both_) AS jaccard FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id JOIN k ka ON ka.kind = j.kind AND ka.id = a_id AND ka.rep = a_id JOIN k kb ON kb.kind = j.kind AND kb.id = b_id AND kb.rep = b_id WHERE 2 * both_ >= x.n + y.n - both_)"""
 
+#: White space, and places of units: a line end of two characters becomes \x01\n, which keeps the places.
+WS = "[\\s\\x{b}\\x{85}\\p{Z}\\x{1c}-\\x{1f}]"
+LINE = "(?:\\x{1}\\n|\\n|\\r)"
+BLANK_LINES = f"{LINE}(?:[\\t\\f\\x{{b}}\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}} ]*{LINE})+"
+OUTER = f"[\\x{{1}}\\s\\x{{b}}\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}}]"
+
+
+def stretches(name: str, source: str, key: str, gap: str, kept: int) -> str:
+    """The stretches of ``source`` (key columns, text t, place o) between gaps: key, b (begin), e (end), without outer
+    white space. kept: how many characters of the gap belong to the stretch before it."""
+    return f"""{name}_p AS (SELECT {key}, o, string_split_regex(t, '{gap}') AS p, regexp_extract_all(t, '{gap}') AS g FROM {source}),
+  {name}_u AS (SELECT {key}, i, p[i] || CASE WHEN i <= len(g) THEN left(g[i], {kept}) ELSE '' END AS s, o + list_sum(list_transform(p[1:i - 1], lambda x: length(x)) || [0]) + list_sum(list_transform(g[1:i - 1], lambda x: length(x)) || [0]) AS b0 FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM {name}_p)),
+  {name} AS (SELECT {key}, b0 + length(s) - length(regexp_replace(s, '^{OUTER}+', '')) AS b, b0 + length(regexp_replace(s, '{OUTER}+$', '')) AS e, regexp_replace(s, '^{OUTER}+|{OUTER}+$', '', 'g') AS t FROM {name}_u WHERE regexp_replace(s, '{OUTER}+', '', 'g') <> '')"""
+
+
+UNITS = f"""src AS (SELECT DISTINCT kind, id, replace(content, chr(13) || chr(10), chr(1) || chr(10)) AS t, 0 AS o FROM (SELECT 'file' AS kind, file_id AS id, content FROM source_files UNION ALL SELECT 'chunk', chunk_seq, content FROM chunks) WHERE content IS NOT NULL AND id IS NOT NULL),
+  {stretches("par", "src", "kind, id", BLANK_LINES, 0)},
+  long_ AS (SELECT kind, id, b AS par, b AS o, t FROM par WHERE e - b > 1000),
+  {stretches("sen", "long_", "kind, id, par", f"[.!?]{OUTER}+", 1)},
+  both_ AS (SELECT kind, id, -1 AS par, b, e FROM par UNION ALL SELECT kind, id, par, b, e FROM sen),
+  prev AS (SELECT kind, id, b, e, lag(b) OVER q AS pb, lag(e) OVER q AS pe FROM both_ WINDOW q AS (PARTITION BY kind, id, par ORDER BY b))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -47,6 +69,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {FACTS} SELECT first_seq, triple_seq AS copy_seq FROM n WHERE triple_seq <> first_seq",
         "p5_facts": f"WITH {FACTS} SELECT first_seq, count(*) AS copies FROM n GROUP BY first_seq",
         "p7_found": f"WITH {SHINGLES} SELECT j.kind AS item_kind, a_id, b_id FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id WHERE 2 * both_ >= x.n + y.n - both_",
+        "p4_found": f"WITH {UNITS} SELECT DISTINCT kind AS item_kind, id AS item_id, CAST(b AS BIGINT) AS cut_at FROM prev WHERE pe - pb <= 800 AND e - b <= 800 AND e - pb > 1000",
         "p7_pairs": f"WITH {CLASSES} SELECT kind AS item_kind, a_id, b_id, round(jaccard, 6) AS jaccard FROM p",
         "p7_members": f"WITH {CLASSES} SELECT kind AS item_kind, id AS item_id, rep AS rep_id FROM k WHERE members > 1",
         "p7_groups": f"""WITH RECURSIVE {CLASSES}, e AS (SELECT kind, a_id AS a, b_id AS b FROM p UNION SELECT kind, b_id, a_id FROM p),

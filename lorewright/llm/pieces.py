@@ -2,10 +2,10 @@
 
 A rolling hash over the last 32 characters marks landmarks that depend on nothing but the text around them; each
 landmark snaps to the nearest natural boundary (start of a paragraph, or of a sentence in a paragraph over the limit).
-Cuts between units that cannot share a piece are set in any case. Sizes stay between a minimum and a maximum: where
-landmarks leave too much, the last natural boundary that fits is cut, then white space, then the text itself. So an
-edit moves the cuts of neighbouring pieces only. Every piece but the first repeats up to ``overlap`` characters of
-the one before, from a word's start on, within the limit.
+A piece ends at the first snapped landmark past the minimum size. Where none comes before the maximum, the last natural
+boundary that fits is cut, then white space, then the text itself. So an edit moves the cuts of neighbouring pieces
+only, and a unit that fits into a piece is never cut inside. Every piece but the first repeats up to ``overlap``
+characters of the one before, from a word's start on, within the limit.
 
 Defined cases: null and blank texts have no piece; texts within the limit are one piece; very long texts are used
 whole; repeated rows count once; an empty table gives an empty result; other columns are ignored. Offsets are code
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lorewright.llm.common import spread
 
-GAP = re.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")
+GAP = re.compile(r"(?:\r\n|\n|\r(?!\n))(?:[^\S\r\n]*(?:\r\n|\n|\r(?!\n)))+")
 STOP = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -62,75 +62,60 @@ def landmarks(text: str, mean: int) -> np.ndarray:
     return np.flatnonzero((h >> np.uint64(40)) % np.uint64(mean) == 0)
 
 
-def must_cut(group: list[tuple[int, int]], limit: int, whole: int) -> set[int]:
-    """Starts of units that cannot share a piece with the unit before although either fits by itself."""
-    return {c for (a, b), (c, d) in zip(group, group[1:]) if b - a <= whole and d - c <= whole and d - a > limit}
+def snapped_to(places: np.ndarray, marks: np.ndarray) -> list[int]:
+    """The natural boundary nearest to each landmark, ascending."""
+    if len(places) < 2 or not len(marks):
+        return []
+    right = np.searchsorted(places, marks).clip(1, len(places) - 1)
+    lower, upper = places[right - 1], places[right]
+    return np.unique(np.where(marks - lower <= upper - marks, lower, upper)).tolist()
 
 
-def cuts_of(text: str, limit: int, overlap: int, least: int, mean: int) -> tuple[list[int], set[int]]:
-    """Where the pieces begin anew (first one included), and those cuts that are set in any case."""
+def cuts_of(text: str, limit: int, overlap: int, least: int, mean: int, marking=landmarks) -> tuple[list[int], dict[int, tuple[int, int, int]]]:
+    """Where the pieces begin anew (first one included), and for each unit that has one before it, by its begin: where
+    the unit before begins and ends and where the unit itself ends."""
     whole = limit - overlap
     paragraphs, sentences = units(text, limit)
     if not paragraphs:
-        return [], set()
+        return [], {}
     first, last = paragraphs[0][0], paragraphs[-1][1]
+    near = {c: (a, b, d) for group in (paragraphs, *sentences) for (a, b), (c, d) in zip(group, group[1:])}
     if last - first <= limit:
-        return [first], set()
-    forced = must_cut(paragraphs, limit, whole)
-    natural = {a for a, _ in paragraphs}
-    for group in sentences:
-        if group:
-            forced |= must_cut(group, limit, whole)
-            natural |= {a for a, _ in group}
-    places = np.array(sorted(natural), np.int64)
-    marks = landmarks(text, mean) + 1
-    # each landmark snaps to the nearest natural boundary
-    right = np.searchsorted(places, marks).clip(1, max(len(places) - 1, 1))
-    snapped: set[int] = set()
-    if len(places) > 1:
-        lower, upper = places[right - 1], places[right]
-        snapped = set(np.where(marks - lower <= upper - marks, lower, upper).tolist())
-    ends = sorted(natural) + [last]
+        return [first], near
+    places = sorted(near)
+    stops = [near[c][1] for c in places]  # where the text before each natural boundary ends
+    snapped = snapped_to(np.array([first, *places], np.int64), marking(text, mean) + 1)
     out, at = [first], first
-    hard = sorted(forced) + [last]
-    for stop in hard:
-        for c in sorted(s for s in snapped if at < s < stop) + [stop]:
-            if c != stop and (c - at < least or stop - c < least):
-                continue
-            # a single unit may fill a piece up to the limit, several leave room for what is repeated
-            while len(text[at:c].rstrip()) > (limit if next_start(ends, at) >= c else whole):
-                near = at + whole
-                k = int(np.searchsorted(places, near, side="right")) - 1
-                n = int(places[k]) if k >= 0 and places[k] > at else 0
-                one = next_start(ends, at)
-                if not n and one - at <= limit and one > at and len(text[at:one].rstrip()) <= limit:
-                    n = one
-                if not n:  # no boundary fits: white space, else anywhere
-                    m = re.search(r"\s\S*\Z", text[at + 1 : near + 1])
-                    n = at + 1 + m.start() + 1 if m and m.start() + 2 > whole // 2 else near
-                    n += len(text[n:c]) - len(text[n:c].lstrip())
-                at = min(n, c)
-                if at < c:
-                    out.append(at)
-            if c < last and c > out[-1]:
-                out.append(c)
-            at = c
-    return out, forced
-
-
-def next_start(ends: list[int], at: int) -> int:
-    return ends[min(bisect.bisect_right(ends, at), len(ends) - 1)]
+    while True:
+        some, most = bisect.bisect_right(places, at), bisect.bisect_right(stops, at + whole) - 1
+        mark = bisect.bisect_left(snapped, max(at + least, at + 1))
+        if mark < len(snapped) and some <= most and snapped[mark] <= places[most] and last - snapped[mark] >= least:
+            at = snapped[mark]
+        elif last - at <= whole:
+            return out, near
+        elif some <= most:
+            at = places[most]
+        elif some < len(places) and stops[some] - at <= limit:  # a single unit may fill a piece up to the limit
+            at = places[some]
+        elif some == len(places) and last - at <= limit:
+            return out, near
+        else:  # no boundary fits: white space, else anywhere
+            m = re.search(r"\s\S*\Z", text[at + 1 : at + whole + 1])
+            n = at + m.start() + 2 if m and m.start() + 2 > whole // 2 else at + whole
+            at = n + len(text[n:last]) - len(text[n:last].lstrip())
+        out.append(at)
 
 
 def split_pieces(df: DataFrame, limit: int = 1000, overlap: int = 200, least: int = 250, mean: int = 500) -> DataFrame:
-    """(kind, id, piece, begin_at, cut_at, end_at, must, content) for a table (kind, id, text). begin_at is where the
-    repeated characters begin, cut_at where new text begins; must tells cuts that are set in any case."""
+    """(kind, id, piece, begin_at, cut_at, end_at, unit_from, unit_mid, unit_to, content) for a table (kind, id, text).
+    begin_at is where the repeated characters begin, cut_at where new text begins. Of a piece that begins with a unit
+    behind another one, unit_from and unit_mid are where the unit before begins and ends, unit_to where the unit ends."""
 
     def work(batches):
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [], [])
             for kind, i, text in zip(b["kind"].to_pylist(), b["id"].to_pylist(), b["text"].to_pylist()):
-                cuts, forced = cuts_of(text, limit, overlap, least, mean)
+                cuts, near = cuts_of(text, limit, overlap, least, mean)
                 for n, c in enumerate(cuts):
                     end = cuts[n + 1] if n + 1 < len(cuts) else len(text)
                     end = c + len(text[c:end].rstrip())
@@ -139,10 +124,18 @@ def split_pieces(df: DataFrame, limit: int = 1000, overlap: int = 200, least: in
                         lo = max(cuts[n - 1], c - min(overlap, limit - (end - c)))
                         m = re.search(r"(?:(?<=\s)|\A)\S", text[lo:c]) if lo == cuts[n - 1] or text[lo - 1].isspace() else re.search(r"(?<=\s)\S", text[lo:c])
                         begin = lo + m.start() if m else c
-                    for col, v in zip(out, (kind, i, n, begin, c, end, c in forced, text[begin:end])):
+                    for col, v in zip(out, (kind, i, n, begin, c, end, *near.get(c, (None, None, None)), text[begin:end])):
                         col.append(v)
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["kind", "id", "piece", "begin_at", "cut_at", "end_at", "must", "content"])
+            types = (pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["kind", "id", "piece", "begin_at", "cut_at", "end_at", "unit_from", "unit_mid", "unit_to", "content"])
 
     rows = df.select("kind", F.col("id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
-    return spread(rows).mapInArrow(work, "kind string, id long, piece int, begin_at long, cut_at long, end_at long, must boolean, content string")
+    return spread(rows).mapInArrow(work, "kind string, id long, piece int, begin_at long, cut_at long, end_at long, unit_from long, unit_mid long, unit_to long, content string")
+
+
+def forced_cuts(pieces: DataFrame, limit: int = 1000, overlap: int = 200) -> DataFrame:
+    """(kind, id, cut_at): the cuts between two units of which either leaves room for what is repeated, but that could
+    not share a piece."""
+    whole = F.lit(limit - overlap)
+    alone = (F.col("unit_mid") - F.col("unit_from") <= whole) & (F.col("unit_to") - F.col("cut_at") <= whole)
+    return pieces.filter(alone & (F.col("unit_to") - F.col("unit_from") > limit)).select("kind", "id", "cut_at").distinct()

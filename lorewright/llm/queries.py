@@ -83,10 +83,9 @@ def p3_clean(spark, d):
 
 
 def p4_found(spark, d):
-    from lorewright.llm.pieces import split_pieces
+    from lorewright.llm.pieces import forced_cuts, split_pieces
 
-    cuts = split_pieces(p7_items(spark, d)).filter("must").select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "cut_at")
-    return cuts.distinct()
+    return forced_cuts(split_pieces(p7_items(spark, d))).select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "cut_at")
 
 
 def p4_pieces(spark, d):

@@ -186,13 +186,14 @@ def test_forced_cuts_against_brute_force(spark):
         t = ""
         while len(t) < rnd.choice([500, 3000, 9000]):
             sentence = " ".join("word" + "x" * rnd.randrange(9) for _ in range(rnd.choice([3, 20, 90, 160])))
-            t += sentence + rnd.choice([". ", "! ", "?\n", ".\n\n", "\r\n\r\n", "\n \t\n", "\r\r", " ", ".\u00a0"])
+            t += sentence + rnd.choice([". ", "! ", "?\n", ".\n\n", "\r\n\r\n", "\r\n", ".\r\n", "\r", "\n \t\n", "\r\r", " ", ".\u00a0"])
         texts.append(t)
     df = spark.createDataFrame([("f", i, t, "c") for i, t in enumerate(texts)] + [("f", 900, None, ""), ("f", 901, " \n ", ""), ("f", 902, "", "")], "kind string, id bigint, text string, content string")
-    rows = pieces.split_pieces(df).collect()
+    cut = pieces.split_pieces(df)
+    rows, must = cut.collect(), pieces.forced_cuts(cut).collect()
     for i, t in enumerate(texts):
         mine = sorted((r for r in rows if r["id"] == i), key=lambda r: r["piece"])
-        assert {r["cut_at"] for r in mine if r["must"]} == brute_cuts(t)
+        assert {r["cut_at"] for r in must if r["id"] == i} == brute_cuts(t)
         assert all(len(r["content"]) <= 1000 and r["content"] == t[r["begin_at"] : r["end_at"]] for r in mine)
         assert all(0 <= r["cut_at"] - r["begin_at"] <= 200 for r in mine)
         joined = "".join(t[r["cut_at"] : r["end_at"]] for r in mine)
@@ -201,6 +202,20 @@ def test_forced_cuts_against_brute_force(spark):
     assert pieces.split_pieces(df.limit(0)).count() == 0
 
 
+def test_line_ends_of_two_characters():
+    assert pieces.units("a\r\nb\r\n\r\nc\rd\r\re", 1000)[0] == [(0, 4), (8, 11), (13, 14)]
+    text = "\r\n".join("word " * 50 for _ in range(3)) + "\r\n\r\n" + "next " * 100
+    assert len(pieces.units(text, 1000)[0]) == 2
+
+
+def test_landmarks_decide_cuts():
+    rnd = random.Random(2)
+    text = "".join(" ".join(rnd.choice("abcdefgh") * rnd.randrange(2, 9) for _ in range(12)) + rnd.choice([". ", ".\n\n"]) for _ in range(400))
+    with_marks = set(pieces.cuts_of(text, 1000, 200, 250, 500)[0])
+    without = set(pieces.cuts_of(text, 1000, 200, 250, 500, lambda t, mean: pieces.np.empty(0, "int64"))[0])
+    assert len(with_marks - without) > len(with_marks) / 3
+
+
 def test_long_words_and_edits():
     cuts = pieces.cuts_of("x" * 5000, 1000, 200, 250, 500)[0]
     assert [b - a for a, b in zip(cuts, cuts[1:])] == [800] * 5 or len(cuts) >= 6
