@@ -323,9 +323,10 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
     # classes are numbered as they are written
     reps = materialize(classes.select(F.monotonically_increasing_id().alias("num"), "kind", "whole", "rep", "last", "members", "s.n", "s.sketch"), "sketch-classes")
     met = materialize(candidates(reps.select("num", "kind", "n", "sketch"), k, threshold, block).distinct(), "met-pairs")
-    asked = met.select(F.explode(F.array("a", "b")).alias("num")).distinct()
-    wanted = materialize(reps.select("num", "kind", F.col("rep").alias("id"), "whole").join(asked, "num", "left_semi"), "met-texts")
-    held = spark.sparkContext.broadcast(id_filter(wanted))
+    named = reps.select("num", "kind", F.col("rep").alias("id"), "whole")
+    side = lambda c: named.select(F.col("num").alias(c), "kind", F.col("id").alias(f"i{c}"), F.col("whole").alias(f"w{c}"))
+    met = materialize(met.join(side("a"), "a").join(side("b").drop("kind"), "b").select("kind", "ia", "wa", "ib", "wb"), "met-texts")
+    held = spark.sparkContext.broadcast(id_filter(met.select("kind", F.explode(F.array("ia", "ib")).alias("id"))))
 
     def sets(batches):
         memo: dict[str, int] = {}
@@ -333,8 +334,9 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
             w = [words(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["kind"], b["id"], pa.array([digest(x) for x in w], pa.binary()), pa.array([pack(shingles(x, size, memo)) for x in w], pa.binary())], ["kind", "id", "whole", "h"])
 
-    full = in_filter(df, held).mapInArrow(sets, "kind string, id long, whole binary, h binary").join(wanted, ["kind", "id", "whole"]).select("num", "kind", "id", "h")
-    one = met.join(full.withColumnsRenamed({"num": "a", "h": "ha", "id": "ia"}), "a").join(full.select(F.col("num").alias("b"), F.col("h").alias("hb"), F.col("id").alias("ib")), "b")
+    full = in_filter(df, held).mapInArrow(sets, "kind string, id long, whole binary, h binary")
+    # both joins use one shuffle of the sets
+    one = met.join(full.toDF("kind", "ia", "wa", "ha"), ["kind", "ia", "wa"]).join(full.toDF("kind", "ib", "wb", "hb"), ["kind", "ib", "wb"])
 
     def verify(batches):
         for b in batches:
