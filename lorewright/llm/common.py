@@ -25,15 +25,16 @@ def hot_size(total: int, parts: int = 1000, least: int = 20_000) -> int:
     return max(least, total // parts)
 
 
-def join_hot(rows: DataFrame, reps: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000, least: int = 20_000, any_hot: bool | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, reps: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000, least: int = 20_000, any_hot: bool | None = None, hint: str | None = None) -> DataFrame:
     """Inner join of rows to the few records of their key (a written table), where column ``n`` tells how many rows a key has.
 
     The records of hot keys are broadcast, so no task gets the rows of a hot key; all other keys are joined by shuffle.
-    any_hot: whether there are hot keys, if that is known already."""
+    any_hot: whether there are hot keys, if that is known already. hint: how the other keys are joined."""
     size = hot_size(total, parts, least)
+    hinted = lambda r: r.hint(hint) if hint else r
     hot = reps.filter(F.col(n) > size)
     if hot.isEmpty() if any_hot is None else not any_hot:
-        return rows.join(reps, keys)
+        return rows.join(hinted(reps), keys)
     cold = reps.filter(F.col(n) <= size)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(hinted(cold), keys))

@@ -2,12 +2,14 @@
 
 Every (field name, normalised value) pair is hashed and the hashes are added up, so the order of fields does not
 matter (a commutative multiset hash, two independent sums of 62 bits each). Records are grouped by that fingerprint
-with map-side combining; each record is then compared field by field with the first record of its group, without
-sorting. Records that differ from it in spite of an equal fingerprint are grouped by their very fields.
+with map-side combining, numbers only, in hash tables; the records of groups of several are then compared field by
+field with the first record of their group through hash joins, so nothing is sorted. Records that differ from it in
+spite of an equal fingerprint are grouped by their very fields.
 
 Defined cases: values keep letters and digits only, lower-cased (accents count); records with a null, empty or blank
 field take no part; a record whose fields are all null is read from its raw JSON object, names in any order and
-letter case; unreadable JSON takes no part; repeated rows count once; an empty table gives an empty result; other
+letter case; unreadable JSON takes no part; repeated rows count once; an id whose rows state different facts counts
+for each of them; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import join_hot, materialize, once
+from lorewright.llm.common import hot_size, join_hot, materialize
 
 BLANK = r"^[\s\p{Z}\p{Cc}\p{Cf}]*$"
 
@@ -46,23 +48,30 @@ def fingerprint(values: dict[str, Column], seed: str) -> Column:
 
 
 def _grouped(df: DataFrame, id_col: str, fields: list[str], raw: str | None) -> DataFrame:
-    df = df.select(id_col, *fields, *([raw] if raw else []))
+    df = df.select(id_col, *fields, *([raw] if raw else [])).filter(F.col(id_col).isNotNull())
     df = read_fields(df, fields, raw) if raw else df
     sound = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.col(f).rlike(BLANK) for f in fields])
-    rows = once(df.filter(sound).select(F.col(id_col).alias("id"), *[normal(f).alias(f) for f in fields]), "id")
+    rows = df.filter(sound).select(F.col(id_col).alias("id"), *[normal(f).alias(f) for f in fields])
     v = {f: F.col(f) for f in fields}
-    rows = rows.withColumns({"h1": fingerprint(v, "a"), "h2": fingerprint(v, "b")})
-    first = materialize(rows.groupBy("h1", "h2").agg(F.min_by(F.struct("id", *fields), "id").alias("first"), F.count("*").alias("n")), "fact-groups")
-    total = first.agg(F.sum("n")).first()[0] or 0
-    same = reduce(lambda a, b: a & b, [F.col(f) == F.col("first")[f] for f in fields])
-    joined = join_hot(rows, first, ["h1", "h2"], "n", total).withColumn("same", same)
-    held = materialize(joined.select("id", F.col("first.id").alias("first_id"), "same", *[F.when(~F.col("same"), F.col(f)).alias(f) for f in fields]), "facts")
-    good = held.filter("same").select("id", "first_id")
+    rows = materialize(rows.withColumns({"h1": fingerprint(v, "a"), "h2": fingerprint(v, "b")}), "fact-rows")
+    once_each = rows.select("id", "h1", "h2").distinct()
+    found = materialize(once_each.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "fact-groups")
+    lone = found.filter("n = 1").select(F.col("first_id").alias("id"), "first_id")
+    many = found.filter("n > 1")
+    total = many.agg(F.sum("n")).first()[0] or 0
+    any_hot = not many.filter(F.col("n") > hot_size(total)).isEmpty()
+    members = join_hot(rows, many, ["h1", "h2"], "n", total, any_hot=any_hot, hint="shuffle_hash")
+    firsts = members.filter("id = first_id").select("h1", "h2", "n", *[F.col(f).alias(f"first_{f}") for f in fields])
+    same = reduce(lambda a, b: a & b, [F.col(f) == F.col(f"first_{f}") for f in fields])
+    joined = join_hot(members.drop("n"), firsts, ["h1", "h2"], "n", total, any_hot=any_hot, hint="shuffle_hash").withColumn("same", same)
+    # only fields that differ are kept
+    held = materialize(joined.select("id", "first_id", "same", *[F.when(~F.col("same"), F.col(f)).alias(f) for f in fields]), "facts")
+    good = held.filter("same").select("id", "first_id").distinct().unionByName(lone)
     odd = held.filter("not same")
     if odd.isEmpty():
         return good
     # equal fingerprints of unequal records: group those by the fields themselves
-    rest = odd.join(odd.groupBy(*fields).agg(F.min("id").alias("f")), fields).select("id", F.col("f").alias("first_id"))
+    rest = odd.join(odd.groupBy(*fields).agg(F.min("id").alias("f")), fields).select("id", F.col("f").alias("first_id")).distinct()
     return good.unionByName(rest)
 
 

@@ -1,9 +1,10 @@
 """Token ids of a whole corpus by a public byte-level BPE tokenizer, through a table of its distinct words.
 
-Texts are split into words by the tokenizer's own pattern in Spark. Each distinct word is encoded once. The ids come
-back by a join on the word: the most frequent words (a number with a fixed bound) are joined by broadcast, the rest
-by shuffle, so a word that makes up a tenth of all text never lands in one task. Each token is one number (position,
-part, id), so putting a text together is a sort of numbers.
+Texts are split into words by the tokenizer's own pattern in Spark, once. Each distinct word is encoded once. The ids
+come back by a join on the word: the most frequent words (a number with a fixed bound) are joined by broadcast, the
+rest by shuffle, so a word that makes up a tenth of all text never lands in one task. Each token is one number (position
+of the word, part within the word, id), so putting a text together is a sort of numbers; the fields are as wide as the
+longest word and the largest id need, and a text with more words than the rest can count raises an error.
 
 Defined cases: null and empty texts have an empty list of ids; strings that look like special tokens are ordinary
 text; repeated rows give one row; very long texts are used whole; an empty table gives an empty result; other
@@ -23,8 +24,6 @@ from lorewright.llm.common import materialize
 TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
 #: The split pattern of the byte-level vocabulary, as its publishers state it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bits of a packed token: 27 for the word's position, 19 for the part within the word, 17 for the id.
-PART, ID = 19, 17
 
 
 def load(name: str, folder: str = TOKENIZERS):
@@ -53,26 +52,46 @@ def encoded(words: DataFrame, name: str, folder: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(work, "word string, n long, ids array<int>")
 
 
+def word_tables(df: DataFrame, name: str, folder: str, hot_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(flat, table, hot) for a table (doc_id, text): the words of all texts (doc_id, pos, word), the distinct words
+    (word, n, ids), and at most ``hot_words`` most frequent of them."""
+    docs = df.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''").dropDuplicates(["doc_id"])
+    flat = materialize(words_of(docs), "token-words")
+    table = materialize(encoded(flat.groupBy("word").agg(F.count("*").alias("n")), name, folder), "words")
+    hot = materialize(table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids"), "hot-words")
+    return flat, table, hot
+
+
+def joined(flat: DataFrame, table: DataFrame, hot: DataFrame, *columns) -> tuple[DataFrame, DataFrame]:
+    """The words of all texts with the ids of each, as the given columns: (those of hot words, the others)."""
+    near = flat.join(F.broadcast(hot), "word", "left")
+    rest = near.filter("ids is null").drop("ids")
+    others = table.join(F.broadcast(hot.select("word")), "word", "left_anti").select("word", "ids")
+    return near.filter("ids is not null").select(*columns), rest.join(others, "word").select(*columns)
+
+
 def token_ids(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_words: int = 50_000) -> DataFrame:
     """(doc_id, ids) for a table (doc_id, text). At most ``hot_words`` words are broadcast."""
-    docs = df.select("doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"])
-    docs = materialize(docs.filter("text is not null and text <> ''"), "token-texts")
-    flat = words_of(docs)
-    counts = flat.groupBy("word").agg(F.count("*").alias("n"))
-    table = materialize(encoded(counts, name, folder), "words")
-    hot = table.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids", F.lit(True).alias("hot"))
-    hot = materialize(hot, "hot-words")
-    packed = F.expr(f"transform(ids, (t, i) -> shiftleft(cast(pos as bigint), {PART + ID}) + shiftleft(cast(i as bigint), {ID}) + t)").alias("t")
+    flat, table, hot = word_tables(df, name, folder, hot_words)
+    widest = table.agg(F.max(F.size("ids")), F.max(F.array_max("ids"))).first()
+    part, each = (max(int(x or 0), 1).bit_length() for x in widest)
+    fits = F.when(F.col("pos") < 1 << min(62 - part - each, 31), F.col("pos").cast("long")).otherwise(F.raise_error(F.lit("a text has too many words for its longest word")).cast("long"))
+    packed = F.transform("ids", lambda t, i: F.shiftleft("at", part + each) + F.shiftleft(i.cast("long"), each) + t).alias("t")
     # most words are hot: their rows are put together by text before anything is shuffled
-    near = flat.join(F.broadcast(hot), "word", "left")
-    here = near.filter("hot").select("doc_id", packed)
-    rare = near.filter("hot is null").select("doc_id", "pos", "word").join(table.join(F.broadcast(hot.select("word")), "word", "left_anti").select("word", "ids"), "word").select("doc_id", packed)
+    here, rare = joined(flat.select("doc_id", "word", fits.alias("at")), table, hot, "doc_id", packed)
     ids = here.unionByName(rare).groupBy("doc_id").agg(F.flatten(F.collect_list("t")).alias("t"))
-    ids = ids.select("doc_id", F.transform(F.sort_array("t"), lambda x: x.bitwiseAND((1 << ID) - 1).cast("int")).alias("ids"))
+    ids = ids.select("doc_id", F.transform(F.sort_array("t"), lambda x: x.bitwiseAND((1 << each) - 1).cast("int")).alias("ids"))
     nothing = df.filter("doc_id is not null and (text is null or text = '')").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
     return ids.unionByName(nothing)
 
 
+def token_numbers(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_words: int = 50_000) -> DataFrame:
+    """(doc_id, n_tokens) for a table (doc_id, text), from the table of distinct words; empty and null texts are left out."""
+    flat, table, hot = word_tables(df, name, folder, hot_words)
+    here, rare = joined(flat.select("doc_id", "word"), table, hot, "doc_id", F.size("ids").alias("m"))
+    return here.unionByName(rare).groupBy("doc_id").agg(F.sum("m").alias("n_tokens"))
+
+
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, piece): the vocabulary, each piece as its bytes; its size is that of the tokenizer."""
     vocabulary = load(name, folder).get_vocab(with_added_tokens=True)

@@ -337,7 +337,9 @@ def test_mix_meets_shares(spark):
     s = {r["source"]: r for r in shares.collect()}
     assert s["none"]["actual_share"] == 0 and sum(r["actual_share"] for r in s.values()) == pytest.approx(1)
     for name, want in (("a", 0.4), ("b", 0.5), ("c", 0.05)):
-        assert s[name]["actual_share"] == pytest.approx(want / 0.95, rel=0.03)
+        # right to one document: of c there are five
+        one = s[name]["available_tokens"] / s[name]["documents"] / sum(r["used_tokens"] for r in s.values())
+        assert s[name]["actual_share"] == pytest.approx(want / 0.95, abs=one)
         assert s[name]["most_copies"] <= s[name]["max_repeats"]
     assert copies.count() == 365
 
@@ -363,6 +365,19 @@ def test_unlabelled_documents_join_softly(spark):
     assert all(rates[1000 + i] > 0 for i in range(60)) and rates[70] < rates[5]
 
 
+def test_posteriors_move_labelled_documents(spark):
+    words = {"a": "pump valve turbine boiler steam", "b": "index vector query chunk token"}
+    rows = [(i, f"{words['a' if i < 60 else 'b']} {i}", "a" if i < 50 else "b") for i in range(120)]  # ten of b read like a
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    copies, shares = mixing.mixed(df, targets, total_tokens=600.0)
+    rates = {r["doc_id"]: r["rate"] for r in copies.collect()}
+    s = {r["source"]: r for r in shares.collect()}
+    # what reads like a is taken less often, and still each label has its share
+    assert max(rates[i] for i in range(50, 60)) < min(rates[i] for i in range(60, 120))
+    assert s["a"]["actual_share"] == pytest.approx(0.3, abs=0.02) and abs(s["a"]["expected_share"] - 0.3) < 0.1
+
+
 # --- personal information ---------------------------------------------------------------------------------------
 
 GIVEN = {"ada", "josé", "thomas", "inés", "philippa"}
