@@ -92,27 +92,24 @@ class CentroidGraph:
 
     It is built once and broadcast; its size depends on the number of lists alone (about 500 bytes a list)."""
 
-    def __init__(self, c: np.ndarray, links: np.ndarray | None = None, entry: np.ndarray | None = None, degree: int = 32, entries: int = 384, seed: int = 3):
+    def __init__(self, c: np.ndarray, links: np.ndarray | None = None, entry: np.ndarray | None = None, degree: int = 32, seed: int = 3):
         self.c, n = c, len(c)
-        self.flat, self.links, self.entries = n <= 384, links, entry
-        if self.flat or links is not None:
+        self.links, self.entries = links, entry
+        if links is not None:
             return
+        degree = min(degree, n - 1)
         links = np.empty((n, degree), dtype=np.int32)
         for i in range(0, n, 1024):
             s = c[i : i + 1024] @ c.T
             links[i : i + 1024] = np.argpartition(-s, degree, axis=1)[:, :degree]
         self.links = links
-        pick = np.random.default_rng(seed).permutation(n)[: max(entries, int(12 * n**0.5))]
+        pick = np.random.default_rng(seed).permutation(n)[: max(16, int(8 * n**0.5))]
         self.entries = np.sort(pick).astype(np.int32)
 
     def nearest(self, x: np.ndarray, k: int, beam: int = 8, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of about the k nearest centroids of each row, nearest first."""
         k = min(k, len(self.c))
-        if self.flat:
-            s = x @ self.c.T
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
-            return self._sorted(s, top)
-        beam = max(beam, k)
+        beam = min(max(beam, k), len(self.entries))
         s = x @ self.c[self.entries].T
         best = self.entries[np.argpartition(-s, beam - 1, axis=1)[:, :beam]]
         for _ in range(rounds):
@@ -201,45 +198,36 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 96, k: in
             near, sim = (np.concatenate(z) for z in zip(*(graph.nearest(v[i : i + 256], copies) for i in range(0, len(v), 256))))
             dist = np.sqrt(np.maximum(2 - 2 * sim, 0))
             keep = dist <= ratio * dist[:, :1] + 1e-6
-            near = np.where(keep, near, -1)
-            ordered = np.sort(near, axis=1).astype("<i4")
-            packed = [r.tobytes() for r in ordered]
-            for j in range(near.shape[1]):
-                m = near[:, j] >= 0
-                yield pd.DataFrame({"list": near[m, j], "id": b["rep"].to_numpy()[m], "n": b["n"].to_numpy()[m], "lists": [p for p, t in zip(packed, m) if t], "q": b["q"][m]})
+            lists = [sorted(r[m].tolist()) for r, m in zip(near, keep)]
+            yield pd.DataFrame({"id": b["rep"], "n": b["n"], "lists": lists, "q": b["q"]})
 
     counted = groups.join(sizes, "rep", "left").select("rep", "q", F.coalesce("n", F.lit(1)).alias("n"))
-    posted = counted.mapInPandas(assign, "list int, id long, n int, lists binary, q binary")
-    width = min(copies, len(c))
+    # walked once: the lengths of lists and the search read what is written
+    routed = materialize(counted.mapInPandas(assign, "id long, n int, lists array<int>, q binary"), "vectors-routes")
+    posted = routed.select(F.explode("lists").alias("list"), "id", "n", "lists", "q")
 
     # lists longer than a block: each row gets one of the list's blocks and meets every block once
-    lengths = posted.select("list").groupBy("list").count().filter(F.col("count") > block)
-    heavy = {r["list"]: -(-r["count"] // block) for r in lengths.collect()}  # at most rows * copies / block entries
-    if heavy:
-        as_map = spark.sparkContext.broadcast(heavy)
-
-        def salt(batches):
-            for b in batches:
-                parts = b["list"].map(lambda z: as_map.value.get(z, 1)).to_numpy()
-                mine = (b["id"].to_numpy() * 2654435761 % 4294967296) % parts
-                for other in range(int(parts.max()) if len(parts) else 0):
-                    m = other < parts
-                    s = b[m].copy()
-                    s["lo"], s["hi"] = np.minimum(mine[m], other), np.maximum(mine[m], other)
-                    yield s
-
-        keyed = posted.mapInPandas(salt, "list int, id long, n int, lists binary, q binary, lo int, hi int")
+    lengths = routed.select(F.explode("lists").alias("list")).groupBy("list").count()
+    heavy = materialize(lengths.filter(F.col("count") > block).select("list", F.ceil(F.col("count") / block).cast("int").alias("parts")), "vectors-long-lists")
+    crowded = not heavy.isEmpty()
+    if crowded:
+        posted = posted.join(heavy, "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+        posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keyed = posted.select("list", "id", "n", "lists", "q", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     else:
         keyed = posted.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
 
     def search(key, b):
         v = unpack(list(b["q"]), dim)
-        lists = np.frombuffer(b"".join(b["lists"]), dtype="<i4").reshape(-1, width)
+        lists = np.full((len(b), copies), -1, np.int32)
+        for i, own in enumerate(b["lists"]):
+            lists[i, : len(own)] = own
         return search_list(v, b["id"].to_numpy(), b["n"].to_numpy(), lists, key[0], k, floor)
 
     found = keyed.groupBy("list", "lo", "hi").applyInPandas(search, "a long, b long, sim float, n_b int")
     # a pair met in several blocks of a list counts once; then ranks with the sizes of groups of equal vectors
-    if heavy:
+    if crowded:
         found = found.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("n_b").alias("n_b"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     ranked = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)

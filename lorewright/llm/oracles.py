@@ -66,6 +66,12 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"""WITH u AS {USABLE}, s AS (SELECT a.chunk_seq AS a, b.chunk_seq AS b, list_cosine_similarity(a.e, b.e) AS sim FROM u a JOIN u b ON a.chunk_seq <> b.chunk_seq),
           r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.8) SELECT DISTINCT least(a, b) AS a_seq, greatest(a, b) AS b_seq FROM r WHERE r <= 10""",
         "p2_found": f"WITH h AS {SCORES}, r AS (SELECT query_id, hit_id, {mean_rank('a')} + {mean_rank('b')} + {mean_rank('c')} AS t FROM h) SELECT query_id, hit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, hit_id) AS n FROM r) WHERE n <= 3",
+        "p2_ranking": f"""WITH RECURSIVE h AS {SCORES},
+          r AS (SELECT query_id, hit_id, ({mean_rank('a')} - 0.5) / count(*) OVER q AS x, ({mean_rank('b')} - 0.5) / count(*) OVER q AS y, ({mean_rank('c')} - 0.5) / count(*) OVER q AS z FROM h WINDOW q AS (PARTITION BY query_id)),
+          m AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r),
+          w(i, a, b, c) AS (SELECT 0, 1::DOUBLE, 1::DOUBLE, 1::DOUBLE UNION ALL SELECT i + 1, (a + b * xy + c * xz) / n, (a * xy + b + c * yz) / n, (a * xz + b * yz + c) / n FROM (SELECT *, sqrt((a + b * xy + c * xz) ** 2 + (a * xy + b + c * yz) ** 2 + (a * xz + b * yz + c) ** 2) AS n FROM w, m WHERE i < 500)),
+          l AS (SELECT abs(a) AS a, abs(b) AS b, abs(c) AS c FROM w WHERE i = 500)
+          SELECT query_id, hit_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(l.a * (x - 0.5) + l.b * (y - 0.5) + l.c * (z - 0.5), 9) DESC, hit_id) AS INTEGER) AS place FROM r, l""",
         "p5_found": f"WITH {FACTS} SELECT first_seq, triple_seq AS copy_seq FROM n WHERE triple_seq <> first_seq",
         "p5_facts": f"WITH {FACTS} SELECT first_seq, count(*) AS copies FROM n GROUP BY first_seq",
         "p7_found": f"WITH {SHINGLES} SELECT j.kind AS item_kind, a_id, b_id FROM j JOIN c x ON x.kind = j.kind AND x.id = a_id JOIN c y ON y.kind = j.kind AND y.id = b_id WHERE 2 * both_ >= x.n + y.n - both_",

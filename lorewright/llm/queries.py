@@ -56,16 +56,20 @@ def p7_groups(spark, d):
     return got.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
 
 
+SCORES = {"similarity": 1, "score": 1, "relevance_score": 1}
+
+
 def p2_found(spark, d):
-    from lorewright.llm.ranking import first_in_group
+    from lorewright.llm.ranking import combined_ranking, first_in_group
 
-    return first_in_group(p2_ranking(spark, d), "query_id", "hit_id", 3).select("query_id", "hit_id")
+    ranking = combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", SCORES, equal_weights=True)
+    return first_in_group(ranking, "query_id", "hit_id", 3).select("query_id", "hit_id")
 
 
 def p2_ranking(spark, d):
-    from lorewright.llm.ranking import combined_ranking
+    from lorewright.llm.ranking import combined_ranking, places
 
-    return combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", {"similarity": 1, "score": 1, "relevance_score": 1})
+    return places(combined_ranking(table(spark, d, "search_hits"), "query_id", "hit_id", SCORES), "query_id", "hit_id").select("query_id", "hit_id", "place")
 
 
 def p3_found(spark, d):
