@@ -1,11 +1,13 @@
 """Markup residue in texts: HTML, Markdown, wiki and LaTeX become clean text that keeps headings, list items, code
 blocks and formulas apart.
 
-A text is read into blocks in document order, each with its kind, visible text and place in the document tree. Which
-blocks are content and which are boilerplate (comments, style sheets, templates, preambles, link menus) is one
-minimum-cut labelling per document: a logistic classifier, fitted on blocks whose element says what they are, gives the
-terminal capacities; neighbouring blocks and blocks with the same parent are joined by smoothness edges. A block whose
-own preference outweighs all its edges keeps it (this never changes the minimum cut), so max-flow runs on the rest.
+A text is read into blocks in document order, each with its kind, visible text and place in the document tree. What the
+markup itself never shows (comments, style sheets, templates, preambles, references) is no content by definition. Which
+of the visible blocks are content and which are boilerplate (menus, link lists, footers, notices) is one minimum-cut
+labelling per document: a logistic classifier of link share, wording and place in the document, which does not see the
+kind of a block, gives the terminal capacities; neighbouring blocks and blocks with the same parent are joined by
+smoothness edges, so a doubtful block goes with those around it. A block whose own preference outweighs all its edges
+keeps it (this never changes the minimum cut), so max-flow runs on the rest, one connected stretch at a time.
 
 Defined cases: null texts give nothing, empty and blank texts an empty clean text; texts without markup are paragraphs
 and lose only stray inline markup; very long texts are used whole; repeated rows count once; an empty table gives an
@@ -29,10 +31,10 @@ HIDDEN = ("comment", "style", "template", "preamble", "reference")
 
 
 class Block:
-    __slots__ = ("kind", "level", "links", "parent", "text")
+    __slots__ = ("chrome", "kind", "level", "links", "parent", "text")
 
-    def __init__(self, kind: str, text: str, parent: int = 0, level: int = 0, links: int = 0):
-        self.kind, self.text, self.parent, self.level, self.links = kind, text, parent, level, links
+    def __init__(self, kind: str, text: str, parent: int = 0, level: int = 0, links: int = 0, chrome: bool = False):
+        self.kind, self.text, self.parent, self.level, self.links, self.chrome = kind, text, parent, level, links, chrome
 
 
 def plain(s: str) -> str:
@@ -58,6 +60,8 @@ def dialect(text: str) -> str:
         return "latex"
     if w >= 2 and w >= m - len(re.findall(r"(?m)^(?:#{1,6}|\*+) ", text)) and re.search(r"(?m)^={2,6}|<(?:syntaxhighlight|math|pre)\b|\[\[[^\]\n]*\|", text):
         return "wiki"
+    if not m and h < 2 and re.search(r"(?m)^(={2,6})[^=\n]+\1[ \t]*$", text) and re.search(r"''[^'\n]+''", text):
+        return "wiki"
     return "markdown" if m else "plain"
 
 
@@ -78,13 +82,14 @@ def read_html(text: str) -> list[Block]:
     out: list[Block] = []
     buf: list[str] = []
     state = {"kind": "text", "level": 0, "links": 0}
-    chrome, items, link, parent = 0, 0, 0, 0
+    chrome, head, items, link, parent = 0, 0, 0, 0, 0
+    lists: list[int] = []  # the parents of items: the open lists
 
     def flush(kind="text", level=0):
         nonlocal buf
         s = plain(html.unescape("".join(buf)))
         if s:
-            out.append(Block("reference" if chrome and state["kind"] == "text" else state["kind"], s, parent, state["level"], state["links"]))
+            out.append(Block("preamble" if head else state["kind"], s, lists[-1] if lists else parent, state["level"], state["links"], chrome > 0))
         buf = []
         state.update(kind=kind, level=level, links=0)
 
@@ -137,20 +142,27 @@ def read_html(text: str) -> list[Block]:
         elif len(name) == 2 and name[0] == "h" and name[1] in "123456":
             flush() if closing else flush("heading", int(name[1]))
         elif name == "li":
-            parent += not closing
             flush() if closing else flush("listitem", items)
         elif name in ("ul", "ol"):
             flush()
             items = max(0, items + (-1 if closing else 1))
             parent += 1
+            if closing:
+                del lists[-1:]
+            else:
+                lists.append(parent)
         elif name == "br":
             buf.append(" ")
         elif name == "a":
             link = 0 if closing else 1
         elif name in BREAKS:
-            if name in ("nav", "footer", "aside", "head"):
+            if name in ("nav", "footer", "aside"):
                 flush()
                 chrome = max(0, chrome + (-1 if closing else 1))
+                parent += 1
+            elif name in ("head", "body"):
+                flush()
+                head = int(name == "head" and not closing)
             elif state["kind"] == "listitem" and items:
                 buf.append(" ")  # a paragraph within an item
             else:
@@ -456,30 +468,54 @@ def blocks(text: str) -> list[Block]:
 # --- content or boilerplate -----------------------------------------------------------------------------------
 
 
-def features(b: Block) -> list[float]:
-    t = b.text
-    n = max(len(t), 1)
-    words = t.split()
-    signs = 0.0 if b.kind in PARTS else sum(t.count(c) for c in "{}|=<>;") / n * 10  # code and formulas are made of signs
-    return [
-        1.0, min(np.log1p(len(words)), 6) / 6, min(b.links / n, 1.0), sum(t.count(c) for c in ".!?,;") / n * 20, sum(c.isdigit() for c in t[:400]) / min(n, 400), signs,
-        float(b.kind in PARTS), float(t[-1:] in ".!?:"), float(b.kind in HIDDEN),
-    ]
+def features(bs: list[Block]) -> np.ndarray:
+    """A row per block: link share of it and of its neighbours, wording, and place. The kind of a block is left out."""
+    if not bs:
+        return np.empty((0, 9))
+    size = np.array([max(len(b.text), 1) for b in bs], float)
+    link = np.minimum(np.array([b.links for b in bs]) / size, 1.0)
+    around = np.convolve(np.pad(link, 1, mode="edge"), [0.5, 0, 0.5], mode="valid")
+    many = np.array([min(np.log1p(len(b.text.split())), 6) / 6 for b in bs])
+    stops = np.array([sum(b.text.count(c) for c in ".!?,;:") for b in bs]) / size * 20
+    digits = np.array([sum(c.isdigit() for c in b.text) for b in bs]) / size
+    rights = np.array([float(any(x in b.text.lower() for x in RIGHTS)) for b in bs])
+    chrome = np.array([float(b.chrome) for b in bs])
+    return np.stack([np.ones(len(bs)), many, link, link * around, np.minimum(stops, 2.0), digits, rights, chrome, link * (1 - many)], axis=1)
+
 
+#: Signs of notices that stand on every page.
+RIGHTS = ("©", "(c) ", "all rights reserved", "cookie", "privacy policy", "terms of use", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos")
 
-def fit(sample: list[str], rounds: int = 300, rate: float = 0.5, keep: float = 1e-3) -> np.ndarray:
-    """A logistic classifier of content, from blocks whose element says what they are."""
+
+def examples() -> list[tuple[list[Block], float]]:
+    """Generic documents with their labels, for what a sample may lack: menus, link lists and notices, plain short blocks."""
+    link = lambda t, **k: Block("text", t, links=len(t), **k)
+    menu = ("Home", "About us", "Contact", "Products", "Log in", "Next page", "Archive", "Read more", "Back to top", "Site map")
+    notices = ("© 2020 All rights reserved", "We use cookies. Accept", "Privacy policy | Terms of use", "(c) 1999 by the authors, all rights reserved.")
+    short = ("Overview", "First step", "See the table below", "Turn the valve", "Notes on version 2.1", "x = 1", "a_1 + b", "for i in range(3): print(i)", "Each item is listed here, with its number.", "One short sentence.")
+    return [([link(t) for t in menu], 0.0), ([link(t, chrome=True) for t in menu], 0.0), ([Block("text", t, chrome=True) for t in menu], 0.0), ([Block("text", t) for t in notices], 0.0), ([Block("text", t) for t in short], 1.0)]
+
+
+def fit(sample: list[str], rounds: int = 400, rate: float = 0.5, keep: float = 1e-3) -> np.ndarray:
+    """A logistic classifier of content. Visible blocks outside navigation are examples of content, those inside it, in
+    the sample and in ``examples``, of boilerplate."""
     rows, labels = [], []
     for text in sample:
-        for b in blocks(text):
-            rows.append(features(b))
-            labels.append(0.0 if b.kind in HIDDEN else 1.0)
-    # anchors keep the fit defined on samples without boilerplate
-    for kind, label in (("comment", 0.0), ("style", 0.0), ("text", 1.0), ("heading", 1.0)):
-        rows.append(features(Block(kind, "todo: {x=1}" if label == 0 else "Each item is listed here.")))
-        labels.append(label)
-    x, y = np.array(rows), np.array(labels)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        bs = [b for b in blocks(text) if b.kind not in HIDDEN]
+        rows.append(features(bs))
+        labels.append(np.array([0.0 if b.chrome else 1.0 for b in bs]))
+    known = [(features(bs), label) for bs, label in examples()]
+    # the examples weigh as much as the sample, so a sample without boilerplate does not outvote them
+    for x, label in known:
+        rows.append(x)
+        labels.append(np.full(len(x), label))
+    x, y = np.concatenate(rows), np.concatenate(labels)
+    told = np.zeros(len(y), bool)
+    told[len(y) - sum(len(k) for k, _ in known) :] = True
+    weight = np.zeros(len(y))
+    for label, group in ((0.0, told), (0.0, ~told), (1.0, told), (1.0, ~told)):
+        of = (y == label) & group
+        weight[of] = 0.25 / max(of.sum(), 1)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -487,21 +523,35 @@ def fit(sample: list[str], rounds: int = 300, rate: float = 0.5, keep: float = 1
     return w
 
 
-def label_content(bs: list[Block], w: np.ndarray, smooth: float = 0.6, near: float = 0.3) -> list[bool]:
-    """True for content: the minimum cut between the classifier's costs under smoothness edges."""
-    n = len(bs)
-    if not n:
-        return []
-    score = np.array([features(b) for b in bs]) @ w
+def label_content(bs: list[Block], w: np.ndarray, smooth: float = 1.0, near: float = 0.5) -> list[bool]:
+    """True for content: the minimum cut between the classifier's costs under smoothness edges. Blocks that are never
+    shown take no part and are no content."""
+    shown = [i for i, b in enumerate(bs) if b.kind not in HIDDEN]
+    out = [False] * len(bs)
+    for i, yes in zip(shown, cut([bs[i] for i in shown], w, smooth, near)):
+        out[i] = yes
+    return out
+
+
+def neighbours(bs: list[Block], smooth: float, near: float) -> list[tuple[int, int, float]]:
+    """The smoothness edges: neighbouring blocks, and each block with the one before it under the same parent."""
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
         if i:
-            edges.append((i - 1, i, smooth))
+            edges.append((i - 1, i, smooth + near * (last.get(b.parent) == i - 1)))
         if b.parent in last and last[b.parent] != i - 1:
             edges.append((last[b.parent], i, near))
         last[b.parent] = i
-    pull = np.zeros(n)
+    return edges
+
+
+def cut(bs: list[Block], w: np.ndarray, smooth: float, near: float) -> list[bool]:
+    if not bs:
+        return []
+    score = features(bs) @ w
+    edges = neighbours(bs, smooth, near)
+    pull = np.zeros(len(bs))
     for i, j, c in edges:
         pull[i] += c
         pull[j] += c
@@ -510,48 +560,97 @@ def label_content(bs: list[Block], w: np.ndarray, smooth: float = 0.6, near: flo
     out = score > 0
     if fixed.all():
         return out.tolist()
-    free = np.flatnonzero(~fixed)
-    at = {int(v): k + 2 for k, v in enumerate(free)}
-    graph: list[dict[int, float]] = [{} for _ in range(len(free) + 2)]
+    # what is left falls into stretches without an edge between them, each cut for itself
+    stretch = {int(v): int(v) for v in np.flatnonzero(~fixed)}
 
-    def add(u, v, c, back=0.0):
-        graph[u][v] = graph[u].get(v, 0.0) + c
-        graph[v][u] = graph[v].get(u, 0.0) + back
+    def top(v):
+        while stretch[v] != v:
+            stretch[v] = stretch[stretch[v]]
+            v = stretch[v]
+        return v
 
-    for v in free:
-        add(0, at[v], max(score[v], 0.0))
-        add(at[v], 1, max(-score[v], 0.0))
+    own = {v: [max(score[v], 0.0), max(-score[v], 0.0)] for v in stretch}  # capacities from content and to boilerplate
+    inner: list[tuple[int, int, float]] = []
     for i, j, c in edges:
-        if i in at and j in at:
-            add(at[i], at[j], c, c)
-        elif i in at or j in at:
-            f, g = (i, j) if i in at else (j, i)
-            add(0, at[f], c) if out[g] else add(at[f], 1, c)
-    side = max_flow(graph)
-    for v in free:
-        out[v] = at[v] in side
+        if i in stretch and j in stretch:
+            inner.append((i, j, c))
+            stretch[top(i)] = top(j)
+        elif i in stretch or j in stretch:
+            f, g = (i, j) if i in stretch else (j, i)
+            own[f][0 if out[g] else 1] += c
+    members: dict[int, list[int]] = {}
+    for v in own:
+        members.setdefault(top(v), []).append(v)
+    between: dict[int, list[tuple[int, int, float]]] = {}
+    for e in inner:
+        between.setdefault(top(e[0]), []).append(e)
+    for root, vs in members.items():
+        at = {v: k + 2 for k, v in enumerate(vs)}
+        flow = Flow(len(vs) + 2)
+        for v in vs:
+            flow.join(0, at[v], own[v][0], 0.0)
+            flow.join(at[v], 1, own[v][1], 0.0)
+        for i, j, c in between.get(root, ()):
+            flow.join(at[i], at[j], c, c)
+        side = flow.source_side()
+        for v in vs:
+            out[v] = at[v] in side
     return out.tolist()
 
 
-def max_flow(graph: list[dict[int, float]]) -> set[int]:
-    """The source's side (node 0) of a minimum cut to node 1, by shortest augmenting paths."""
-    while True:
-        came, todo = {0: 0}, [0]
+class Flow:
+    """Maximum flow from node 0 to node 1 by blocking flows over shortest paths."""
+
+    def __init__(self, n: int):
+        self.arcs: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[float] = []
+
+    def join(self, u: int, v: int, there: float, back: float) -> None:
+        for x, y, c in ((u, v, there), (v, u, back)):
+            self.arcs[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(c)
+
+    def levels(self) -> list[int]:
+        level = [-1] * len(self.arcs)
+        level[0], todo = 0, [0]
         for u in todo:
-            for v, c in graph[u].items():
-                if c > 1e-12 and v not in came:
-                    came[v] = u
-                    todo.append(v)
-        if 1 not in came:
-            return set(came)
-        path, v = [], 1
-        while v:
-            path.append((came[v], v))
-            v = came[v]
-        c = min(graph[u][v] for u, v in path)
-        for u, v in path:
-            graph[u][v] -= c
-            graph[v][u] = graph[v].get(u, 0.0) + c
+            for e in self.arcs[u]:
+                if self.room[e] > 1e-12 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[u] + 1
+                    todo.append(self.to[e])
+        return level
+
+    def source_side(self) -> set[int]:
+        while (level := self.levels())[1] >= 0:
+            following = [0] * len(self.arcs)
+            path: list[int] = []
+            u = 0
+            while True:
+                if u == 1:
+                    c = min(self.room[e] for e in path)
+                    for k, e in enumerate(path):
+                        self.room[e] -= c
+                        self.room[e ^ 1] += c
+                    k = next(k for k, e in enumerate(path) if self.room[e] <= 1e-12)
+                    u = self.to[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                while following[u] < len(self.arcs[u]):
+                    e = self.arcs[u][following[u]]
+                    if self.room[e] > 1e-12 and level[self.to[e]] == level[u] + 1:
+                        break
+                    following[u] += 1
+                else:
+                    if not path:
+                        break
+                    u = self.to[path.pop() ^ 1]
+                    following[u] += 1
+                    continue
+                path.append(e)
+                u = self.to[e]
+        return {v for v, d in enumerate(level) if d >= 0}
 
 
 def content(text: str, w: np.ndarray) -> list[Block]:

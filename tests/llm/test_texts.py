@@ -266,32 +266,62 @@ def test_dialects(name):
 
 def test_minimum_cut_against_brute_force():
     rnd = random.Random(3)
-    for _ in range(40):
-        bs = [markup.Block(rnd.choice(["text", "comment", "listitem"]), "w " * rnd.randrange(1, 20), rnd.randrange(3), 0, rnd.randrange(10)) for _ in range(9)]
-        w = markup.np.array([rnd.uniform(-1, 1) for _ in markup.features(bs[0])])
+    turned = 0
+    for _ in range(60):
+        bs = [markup.Block(rnd.choice(["text", "heading", "listitem"]), "w " * rnd.randrange(1, 20), rnd.randrange(3), 0, rnd.randrange(10), rnd.random() < 0.3) for _ in range(9)]
+        w = markup.np.array([rnd.uniform(-1, 1) for _ in markup.features(bs)[0]])
         got = markup.label_content(bs, w, 0.8, 0.5)
-        score = [float(markup.np.dot(markup.features(b), w)) for b in bs]
+        score = (markup.features(bs) @ w).tolist()
 
         def cost(lab):
             c = sum((-s if s < 0 else 0) if y else (s if s > 0 else 0) for s, y in zip(score, lab))
-            last = {}
-            for i, b in enumerate(bs):
-                if i:
-                    c += 0.8 * (lab[i] != lab[i - 1])
-                if b.parent in last and last[b.parent] != i - 1:
-                    c += 0.5 * (lab[i] != lab[last[b.parent]])
-                last[b.parent] = i
-            return c
+            return c + sum(x for i, j, x in markup.neighbours(bs, 0.8, 0.5) if lab[i] != lab[j])
 
         best = min(cost([bool(m >> i & 1) for i in range(9)]) for m in range(512))
         assert cost(got) == pytest.approx(best)
+        turned += any((s > 0) != y for s, y in zip(score, got))
+    assert turned > 20
+
+
+MENU = ["Home", "Pumps", "Valves", "Contact", "Imprint"]
+BODY = "<h1>Title</h1>" + "".join(f"<p>A full sentence number {i}, with words and an end.</p>" for i in range(5))
+
+
+def kept(text):
+    return [b.text for b in markup.content(text, WEIGHTS)]
 
 
 def test_boilerplate_menu_is_cut():
-    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>Page{i}</a></li>" for i in range(8)) + "</ul></nav>"
-    body = "<h1>Title</h1>" + "".join(f"<p>A full sentence number {i}, with words and an end.</p>" for i in range(5))
-    w = markup.fit([menu + body] * 3)
-    assert ("heading", "Title") in {(b.kind, b.text) for b in markup.content(menu + body, w)}
+    want = kept(BODY)
+    assert want[0] == "Title" and len(want) == 6
+    items = "".join(f"<li><a href='/{m}'>{m}</a></li>" for m in MENU)
+    assert kept(f"<nav><ul>{items}</ul></nav>{BODY}") == want
+    assert kept(f"<div><ul>{items}</ul></div>{BODY}") == want  # a list of links alone is a menu wherever it stands
+    assert kept(f"{BODY}<footer><p>© 2020 Example. All rights reserved.</p></footer>") == want
+
+
+def test_only_the_cut_decides():
+    def own(text):
+        bs = markup.blocks(text)
+        return {b.text: s > 0 for b, s in zip(bs, markup.features(bs) @ WEIGHTS)}
+
+    # a heading that is a link: by itself boilerplate, among paragraphs content
+    linked = BODY + "<h2><a href='#x'>Nightly rollback</a></h2>" + BODY.replace("Title", "Other")
+    assert not own(linked)["Nightly rollback"] and "Nightly rollback" in kept(linked)
+    # an entry without a link: by itself content, within a menu boilerplate
+    links = "".join(f"<li><a href='/{m}'>{m}</a></li>" for m in MENU)
+    menu = f"<ul>{links}<li>Here</li>{links}</ul>{BODY}"
+    assert own(menu)["Here"] and "Here" not in kept(menu) and kept(menu) == kept(BODY)
+    # a list whose items say something stays, links or not
+    items = "".join(f"<li>Turn valve {i} until the pressure of <a href='#'>pump {i}</a> falls.</li>" for i in range(4))
+    assert len(kept(f"<ul>{items}</ul>{BODY}")) == 10
+
+
+def test_many_doubtful_blocks():
+    rnd = random.Random(1)
+    bs = [markup.Block("text", "word " * rnd.randrange(1, 4), i // 7, 0, rnd.randrange(12)) for i in range(4000)]
+    w = markup.np.array([rnd.uniform(-0.4, 0.4) for _ in range(9)])
+    assert len(markup.label_content(bs, w)) == 4000
 
 
 def test_markup_tables(spark):
