@@ -54,12 +54,21 @@ LINKS = {
 }
 
 
+#: What teaches that Bob is a Robert, Freddie a Frederick and Limited a Ltd: names that stand beside several known parts.
+TEACHERS = {
+    "Robert Fegrux": ["Bob Fegrux"], "Robert Drohaque": ["Bob Drohaque"], "Robert Cupria": ["Cupria, Bob"], "Frederick Sodewes": ["Frederick 'Freddie' Sodewes"], "Frederick Thalipo": ["Thalipo, Frederick (Freddie)"], "Frederick Wigriark": ["Freddie Wigriark"],
+    "Brekal Grid Systems Ltd": ["Brekal Grid Systems Limited"], "Jagovos Freight Logistics Ltd": ["Jagovos Freight Logistics Limited"], "Lugefox Cold Storage Ltd": ["The Lugefox Cold Storage Limited"],
+}
+TAUGHT = [(100 + i, n, "organisation" if n.endswith("Ltd") else "person") for i, n in enumerate(TEACHERS)]
+
+
 def test_name_links(spark):
     said = list(LINKS)
     rows = [(i, s, "met", "Łukasz Brisulo" if i == 0 else None) for i, s in enumerate(said)]
+    rows += [(1000 + i, s, "met", None) for i, s in enumerate(s for x in TEACHERS.values() for s in x)]
     df = table(spark, rows)
     df = df.unionByName(df.limit(3))
-    entities = spark.createDataFrame(ENTITIES, "entity_id bigint, name string, kind string")
+    entities = spark.createDataFrame(ENTITIES + TAUGHT, "entity_id bigint, name string, kind string")
     got = {(r["id"], r["slot"]): r["entity_id"] for r in names.variant_links(df, "triple_seq", ["subject", "object"], entities).collect()}
     assert {s: got.get((i, "subject")) for i, s in enumerate(said)} == LINKS
     assert not [k for k in got if k[1] == "object"]  # the listed spelling is no variant
@@ -74,6 +83,50 @@ def test_rematch_learns_spellings(spark):
     assert got == {1, 2}  # the second through what the first showed; the third is too short to be trusted alone
 
 
+def test_nicknames_are_learned_only_from_several_names(spark):
+    entities = spark.createDataFrame([(i, n, "person") for i, n in enumerate(["Margaret Fegrux", "Margaret Drohaque", "Margaret Cupria", "Susan Sodewes", "Thomas Wigriark", "Susan Brisulo"])], "entity_id bigint, name string, kind string")
+    say = lambda *x: spark.createDataFrame([(names.squash(n),) for n in x], "key string")
+    link = lambda *x: {(r["key"], r["entity_id"]) for r in names.link_names(say(*x), entities).collect()}
+    assert link("Peggy Fegrux", "Peggy Drohaque") == set()
+    assert link("Peggy Fegrux", "Peggy Drohaque", "Cupria, Peggy") == {("peggyfegrux", 0), ("peggydrohaque", 1), ("cupriapeggy", 2)}
+    # other people of the same surname teach nothing: their given name is one of the known ones
+    assert link("Thomas Sodewes", "Thomas Brisulo", "Thomas Fegrux", "Thomas Cupria") == set()
+
+
+def test_middle_initials_are_unioned(spark):
+    entities = spark.createDataFrame([(1, "Deborah Wigriark", "person"), (2, "Daniel Wigriark", "person")], "entity_id bigint, name string, kind string")
+    say = lambda *x: spark.createDataFrame([(names.squash(n),) for n in x], "key string")
+    link = lambda *x: {(r["key"], r["entity_id"]) for r in names.link_names(say(*x), entities).collect()}
+    assert ("dkwigriark", 1) not in link("D. K. Wigriark", "Deborah K. Wigriark")
+    assert ("dkwigriark", 1) in link("D. K. Wigriark", "Deborah K. Wigriark", "Wigriark, Deborah K.")
+
+
+def test_short_and_long_parts_are_met(spark):
+    entities = spark.createDataFrame([(1, "Ada Li", "person"), (2, "Robert Wolfeschlegelsteinhausenbergerdorff", "person")], "entity_id bigint, name string, kind string")
+    mentions = spark.createDataFrame([(names.squash(n),) for n in ("Li, Ada", "A. Li", "Mr Li", "Robert Wolfeschlegelsteinhausenbergrdorff", "R. Wolfeschlegelsteinhausenbergerdorff", "Ali Baba")], "key string")
+    got = {(r["key"], r["entity_id"]) for r in names.link_names(mentions, entities).collect()}
+    assert got == {("liada", 1), ("ali", 1), ("mrli", 1), ("robertwolfeschlegelsteinhausenbergrdorff", 2), ("rwolfeschlegelsteinhausenbergerdorff", 2)}
+
+
+def test_edits_against_plain_distance():
+    import random
+
+    def plain(a, b):
+        d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+                if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a) - 1, len(b) - 1]
+
+    rnd = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("abc1") for _ in range(rnd.randrange(0, 8))) for _ in range(2))
+        for most in (1, 2):
+            assert names.edits(a, b, most) == min(plain(a, b), most + 1), (a, b, most)
+
+
 def test_edits():
     assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("kitten", "sitting", 3) == 3
 
