@@ -1,18 +1,19 @@
 """Personal information in free text, found by anchor expansion and replaced by typed placeholders.
 
-One Aho-Corasick automaton passes over a text and finds anchors: at-signs and their spelled-out forms, schemes,
-street words, and the cues that announce a telephone number, an identity number, an address or a person. From each
-anchor a deterministic parser expands to the left or right, checks the form it must have there, and gives exact
-boundaries; nothing is reported without an anchor except telephone numbers in a complete international or national
-form. Overlaps go to the earlier and longer find.
-
-Defined cases: null and empty texts hold nothing; very long texts are used whole (anchors are expanded locally);
-repeated rows count once; a text is otherwise left as it stands; an empty table gives an empty result; other columns
-are ignored.
+Anchors are what gives a mention away wherever it stands, in any wording: at-signs and their spelled-out forms, street
+words, words for identity papers, courtesy titles and known given names, all found in one pass of an Aho-Corasick
+automaton, and single letters with a full stop, plus signs, brackets and leading digits, found by a scan for characters.
+From each anchor a deterministic parser expands to the left or right as far as its grammar goes, checks the form it must
+have, and gives exact boundaries. Identity numbers count behind a word for them in their sentence, or anywhere if they
+have check digits that are right. Overlaps go to the earlier and longer find, by a sweep over disjoint finds.
+
+Defined cases: null and empty texts hold nothing; very long texts and mentions are used whole; repeated rows count
+once; a text is otherwise left as it stands; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -22,27 +23,27 @@ from pyspark.sql import functions as F
 
 from lorewright.llm.common import spread
 
-#: Cues after which a person may be named.
-NAME_CUES = (
-    "reach ", "contact: ", "ask for ", "form to ", "issued to ", "according to ", "signed by ", " and ", "owner=", "reporter: ", "ansprechpartner: ", "steuer-id von ", "bitte ", "dni de ", "llame a ", "dossier de ", "contactez ", "attn ", "attn: ",
-    "contact ", "dear ", "call ", "ausweis von ", "frau ", "herr ", "herrn ", "mme ", "señor ", "señora ",
-)
-#: What follows a person who is named before it.
-NAME_ENDS = (" approved ", " a validé ", " hat den ", " hat die ", " hat das ", " aprobó ", " porte le ", " lautet ", " <", " signed ", " genehmigte ", ", the cache ")
-#: Cues and endings after and before which M. is a title.
-FRENCH = ("dossier de ", "contactez ", " a validé ", " porte le ")
-START = re.compile(r"(?<![\w'’.\-])[^\W\d_]|(?<=\. )[^\W\d_]")
 TITLE = r"(?:(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herrn|Herr|Frau|Mme|Mlle|M|Sra|Sr|don|doña|Don|Doña|Señora|Señor|Monsieur|Madame)\b\.?[  ]+)"
 WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 INITIAL = r"[^\W\d_]\."
-ID_CUES = ("number on file:", "id no.", "record lists", "ausweis", "lautet", "le numéro", "dni", " es ", "passport", "tax number", "steuer-id", "nie ", "ssn", "national insurance")
+#: Words for identity papers and for what they are kept in, as whole words.
+ID_WORDS = (
+    "id", "identity", "identification", "passport", "ssn", "social security", "national insurance", "tax", "tax number", "employee", "personnel", "badge", "on file", "ausweis", "personalausweis", "reisepass", "steuer-id", "steuer-identifikationsnummer",
+    "sozialversicherungsnummer", "dni", "nie", "nif", "pasaporte", "seguridad social", "dossier", "sécurité sociale", "carte d'identité", "passeport",
+)
+#: The end of a sentence; a full stop after an initial or a title is none.
+SENTENCE = regex.compile(r"(?<=[\p{L}\p{N})\]]{3})(?<!\b(?:Sra|Prof|Mrs|Mme|Mlle|Herr))[.!?](?=\s)|[\p{L}\p{N}]{4}[.!?](?=\s)|\n\s*\n")
+#: Function words that tell the languages of a sentence apart, of which only one has M. for a title.
+FRENCH = frozenset("le les des du au aux une est et dans pour par avec qui ce cette sur ne pas vous nous il elle sa son ses".split())
+OTHERS = frozenset("the and of to was is for with under at on by it that der die das und den dem ist hat von mit unter nicht el los al del y para con por se su lo que".split())
+INITIALS = regex.compile(r"(?<![\p{L}\p{N}_.'’\-@])\p{L}\.")
+NUMBERS = regex.compile(r"(?<![\p{L}\p{N}.,:/_\-+])[(+0-9]")
 STREET_WORDS = (
     " street", " avenue", " lane", " way", " rd", " road", " crescent", " close", " drive", " court", " terrace", "straße", "strasse", "str.", "weg ", "platz ", "allee ", "gasse ", "ring ", "ufer ", "damm ", " mühle ", " chemin ", " rue ", " avenue ", " boulevard ", " place ", " quai ", " impasse ", " allée ",
     ",chemin ", "calle ", "c/ ", "plaza ", "avda. ", "avenida ", "paseo ", "camino ", "an der ", "am ", "im ", "zum ", "auf der ",
 )
 
 DOT = r"(?:\.|[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?)"
-USER_LEFT = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]*[\p{L}\p{N}_%+\-])?$")
 DOMAIN = regex.compile(rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{DOT}[\p{{L}}]{{2,}}", regex.I)
 
 PHONE = regex.compile(
@@ -61,7 +62,7 @@ PHONE = regex.compile(
     regex.X,
 )
 ID = regex.compile(
-    r"""(?:
+    r"""(?<![\p{L}\p{N}]|\d[\-./:])(?:
       [A-Z]{2}[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-D]
     | \d{3}[ \-]\d{2}[ \-]\d{4}
     | [12][ ]?\d\d[ ]?\d\d[ ]?(?:\d\d|2[AB])[ ]?\d{3}[ ]?\d{3}[ ]?\d\d
@@ -82,6 +83,35 @@ STREETS = [
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID]", "street": "[ADDRESS]", "name": "[NAME]"}
 
 
+def checked(number: str) -> bool:
+    """Whether an identity number of a form with check digits has the right ones: French social security numbers (the
+    rest of a division by 97), Spanish identity cards and foreigners' numbers (a letter for the rest by 23)."""
+    x = "".join(c for c in number if c.isalnum())
+    if len(x) == 15 and x[-2:].isdigit():
+        body = x[:13].replace("2A", "19").replace("2B", "18")
+        return body.isdigit() and 97 - int(body) % 97 == int(x[13:])
+    if len(x) == 9 and x[-1].isalpha() and (x[0] in "XYZ" or x[0].isdigit()) and x[1:8].isdigit():
+        return "TRWAGMYFPDXBNJZSQVHLCKE"[int(str("XYZ".find(x[0]) if x[0] in "XYZ" else x[0]) + x[1:8]) % 23] == x[8]
+    return False
+
+
+class Taken:
+    """Disjoint stretches of a text, in order."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, begin: int, end: int) -> bool:
+        """Take a stretch, unless part of it is taken."""
+        k = bisect.bisect_left(self.begins, end)
+        if k and self.ends[k - 1] > begin:
+            return False
+        self.begins.insert(k, begin)
+        self.ends.insert(k, end)
+        return True
+
+
 class Finder:
     """Finds (begin, end, kind) in a text. given: known given names, lower-cased."""
 
@@ -91,110 +121,131 @@ class Finder:
         self.given = given
         self.auto = ahocorasick.Automaton()
         words: dict[str, set[str]] = {}
-        for kind, cues in (("at", ("@", "(at)", "[at]", "{at}")), ("name", NAME_CUES), ("end", NAME_ENDS), ("id", ID_CUES), ("street", STREET_WORDS), ("given", tuple(given))):
+        titles = ("mr", "ms", "mrs", "miss", "dr", "prof", "herrn", "herr", "frau", "mme", "mlle", "m.", "sra", "sr", "don", "doña", "señora", "señor", "monsieur", "madame")
+        for kind, cues in (("at", ("@", "(at)", "[at]", "{at}")), ("title", titles), ("id", ID_WORDS), ("street", STREET_WORDS), ("given", tuple(given))):
             for c in cues:
                 words.setdefault(c, set()).add(kind)
         for w, kinds in words.items():
             self.auto.add_word(w, (len(w), kinds))
         self.auto.make_automaton()
         g = f"(?:{WORD})"
-        self.forward = regex.compile(rf"(?P<title>{TITLE})?(?:(?P<i>{INITIAL}[  ]?(?:{INITIAL}[  ]?)?(?P<is>{g}))|(?P<cs>{g}),[  ](?P<cg>{g})(?:[  ]{INITIAL})?|(?P<fg>{g})(?:[  ]{INITIAL})?[  ](?P<fs>{g})|(?P<os>{g}))")
+        self.titled = regex.compile(rf"(?P<title>{TITLE})(?:(?P<i>{INITIAL}[  ]?(?:{INITIAL}[  ]?)?(?P<is>{g}))|(?P<cs>{g}),[  ](?P<cg>{g})(?:[  ]{INITIAL})?|(?P<fg>{g})(?:[  ]{INITIAL})?[  ](?P<fs>{g})|(?P<os>{g}))")
+        self.initialed = regex.compile(rf"{INITIAL}[  ]?(?:{INITIAL}[  ]?)?({g})")
+        self.named = regex.compile(rf"({g})(?:[  ]{INITIAL})?[  ]({g})")
+        self.reversed = regex.compile(rf"({g})(?:[  ]{INITIAL})?(?![\p{{L}}\p{{N}}])")
+
+    def known(self, w: str | None) -> bool:
+        return w is not None and (w.lower() in self.given or w.lower().split("-")[0] in self.given)
+
+    @staticmethod
+    def proper(w: str | None) -> bool:
+        return w is not None and len(w) > 1 and w[0].isupper()
+
+    def in_french(self, text: str, begin: int, end: int, stops: list[int]) -> bool:
+        k = bisect.bisect_right(stops, begin)
+        said = [w.lower() for w in re.findall(r"[^\W\d_]+", text[stops[k - 1] if k else 0 : begin] + " " + text[end : stops[bisect.bisect_left(stops, end)] if stops and stops[-1] >= end else len(text)])]
+        return sum(w in FRENCH for w in said) > sum(w in OTHERS for w in said)
 
-    def name_at(self, text: str, at: int, backed: bool, french: bool = False) -> tuple[int, int] | None:
-        """The person named at this place, without a title. backed: the context says that a person stands here.
-        french: M. before a surname is a title, as elsewhere it is an initial."""
-        m = self.forward.match(text, at)
+    def titled_at(self, text: str, at: int, stops: list[int]) -> tuple[int, int] | None:
+        """The person behind a title that begins here. M. is a title in French and an initial elsewhere."""
+        m = self.titled.match(text, at)
         if not m:
             return None
-        known = lambda w: w is not None and (w.lower() in self.given or w.lower().split("-")[0] in self.given)
-        proper = lambda w: len(w) > 1 and w[0].isupper()
-        if m["i"] and backed and proper(m["is"]):
-            return m.start("i"), m.end("is")
-        if m["cs"] and known(m["cg"]):
-            return m.start("cs"), m.end()
-        if m["fg"] and known(m["fg"]) and (proper(m["fs"]) or backed):
-            return m.start("fg"), m.end("fs")
-        initial = m["title"] is not None and m["title"].startswith("M.") and not french
-        if m["title"] and m["os"] and backed and proper(m["os"]):
-            return m.start("title" if initial else "os"), m.end("os")
-        if m["title"] and m["fg"] and backed and proper(m["fg"]):  # a title and a surname, followed by another word
-            return m.start("title" if initial else "fg"), m.end("fg")
-        if m["title"] and m["cs"] and backed and proper(m["cs"]):
-            return m.start("title" if initial else "cs"), m.end("cs")
+        start = "title" if m["title"].startswith("M.") and not self.in_french(text, m.start(), m.end(), stops) else ""
+        if m["i"] and self.proper(m["is"]):
+            return m.start(start or "i"), m.end("is")
+        if m["cs"] and self.known(m["cg"]):
+            return m.start(start or "cs"), m.end()
+        if m["fg"] and self.known(m["fg"]):
+            return m.start(start or "fg"), m.end("fs")
+        for g in ("os", "fg", "cs"):  # a surname, whatever word follows
+            if self.proper(m[g]):
+                return m.start(start or g), m.end(g)
         return None
 
-    def name_before(self, text: str, end: int, french: bool) -> tuple[int, int] | None:
-        """The longest name that ends at this place."""
-        low = max(0, end - 70)
-        for m in START.finditer(text, low, end):
-            got = self.name_at(text, m.start(), True, french)
-            if got and got[1] == end:
-                return got
-        return None
+    def given_at(self, text: str, at: int) -> tuple[int, int] | None:
+        """The person whose known given name begins here: with a surname behind it, or before it and a comma."""
+        m = self.named.match(text, at)
+        if m and self.known(m[1]) and (self.proper(m[2]) or not text[at].isupper()):
+            return m.span()
+        m = self.reversed.match(text, at)
+        if not m or not self.known(m[1]) or at < 3 or text[at - 1] not in "  " or text[at - 2] != ",":
+            return None
+        begin = at - 2
+        while begin > 0 and (text[begin - 1].isalpha() or (text[begin - 1] in "'’-" and begin > 1 and text[begin - 2].isalpha())):
+            begin -= 1
+        return (begin, m.end()) if begin < at - 2 and text[begin].isupper() == text[at].isupper() else None
+
+    def address_at(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The e-mail address around an at-sign, expanded letter by letter."""
+        plain = text[begin] == "@"
+        right = end + (not plain and text[end : end + 1] == " ")
+        left = begin
+        while not plain and left > 0 and text[left - 1] == " ":
+            left -= 1
+        user = left
+        while user > 0 and (text[user - 1].isalpha() or text[user - 1].isnumeric() or text[user - 1] in "._%+-"):
+            user -= 1
+        while user < left and not (text[user].isalpha() or text[user].isnumeric()):
+            user += 1
+        d = DOMAIN.match(text, right)
+        return (user, d.end()) if d and user < left and text[left - 1] != "." else None
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         low = text.lower()
         if len(low) != len(text):  # a letter that grows when lower-cased would shift the places
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        hits: list[tuple[int, int, str]] = []
-        names: list[tuple[int, int]] = []
+        hits: set[tuple[int, int, str]] = set()
+        stops: list[int] | None = None
+        streets: list[int] = []
         for last, (n, kinds) in self.auto.iter(low):
             begin, end = last - n + 1, last + 1
             if "at" in kinds:
-                left = text[max(0, begin - 80) : begin].rstrip(" ") if text[begin] != "@" else text[max(0, begin - 80) : begin]
-                u = USER_LEFT.search(left)
-                right = end + (text[begin] != "@" and text[end : end + 1] == " ")
-                d = DOMAIN.match(text, right)
-                if u and d:
-                    hits.append((max(0, begin - 80) + u.start(), d.end(), "email"))
-            if "name" in kinds:
-                start = begin == 0 or not low[begin - 1].isalnum() or not low[begin].isalpha()
-                if start:
-                    titled = low[begin:end].strip() in ("frau", "herr", "herrn", "mme", "señor", "señora")
-                    sure = low[begin:end] not in (" and ", "call ", "contact ", "bitte ", "reach ") or text[begin].isupper()
-                    if titled:
-                        got = self.name_at(text, begin, True, low[begin:end] == "mme ")
-                    else:
-                        got = self.name_at(text, end, sure, low[begin:end] in FRENCH)
-                    if not got and low[begin:end] == " and ":  # the second of two who signed
-                        got = self.name_at(text, end, True)
-                        got = got if got and low.startswith(" in duplicate", got[1]) else None
-                    if got and low[begin:end] == "dossier de " and not low.startswith(" porte", got[1]):
-                        got = None
-                    if got:
-                        names.append(got)
-            if "end" in kinds:
-                got = self.name_before(text, begin, low[begin:end] in FRENCH)
+                got = self.address_at(text, begin, end)
                 if got:
-                    names.append(got)
-            if "given" in kinds and (begin == 0 or not (low[begin - 1].isalnum() or low[begin - 1] in "@._+-")) and not low[end : end + 1].isalnum():
-                got = self.name_at(text, begin, False)
-                if got and got[0] == begin and text[begin].isupper():
-                    names.append(got)
-            if "id" in kinds:
-                m = re.compile(r"[ :. ]*(?:(?:von|de|nr|no|n°|number)\b\.?[ :]*)?").match(text, end)
-                d = ID.match(text, m.end())
-                if d and any(c.isdigit() for c in d.group()):
-                    hits.append((d.start(), d.end(), "idnum"))
+                    hits.add((*got, "email"))
             if "street" in kinds:
-                lo = max(0, begin - 60)
-                for r in STREETS:
-                    for s in r.finditer(text, lo, min(len(text), end + 90)):
-                        if s.start() <= end and s.end() >= begin and (s.start() == 0 or not text[s.start() - 1].isalnum()):
-                            hits.append((s.start(), s.end(), "street"))
-        ids = [(a, b) for a, b, k in hits if k == "idnum"]
-        for m in PHONE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in ids):
-                hits.append((m.start(), m.end(), "phone"))
-        hits += [(a, b, "name") for a, b in names]
+                streets.append(begin)
+            if kinds & {"title", "given", "id"}:
+                whole = not low[begin - 1 : begin].isalnum() if begin else True
+                if not whole or (low[end - 1].isalpha() and low[end : end + 1].isalnum()):
+                    continue
+                if stops is None:
+                    stops = [m.end() for m in SENTENCE.finditer(text)]
+                got = None
+                if "title" in kinds and text[begin].isupper() | (low[begin:end] in ("don", "doña")):
+                    got = self.titled_at(text, begin, stops)
+                if not got and "given" in kinds and low[begin - 1 : begin] not in tuple("@._+-"):
+                    got = self.given_at(text, begin)
+                if got:
+                    hits.add((*got, "name"))
+                if "id" in kinds:
+                    k = bisect.bisect_left(stops, end)
+                    d = ID.search(text, end, stops[k] if k < len(stops) else len(text))
+                    if d and any(c.isdigit() for c in d.group()):
+                        hits.add((d.start(), d.end(), "idnum"))
+        for m in INITIALS.finditer(text):
+            p = self.initialed.match(text, m.start())
+            if p and text[m.start()].isupper() and self.proper(p[1]):
+                french = text.startswith("M. ", m.start()) or text.startswith("M.\u00a0", m.start())
+                if not french:  # M. is a title's anchor
+                    hits.add((p.start(), p.end(), "name"))
+        if streets:
+            for r in STREETS:
+                for s in r.finditer(text):
+                    k = bisect.bisect_left(streets, s.start() - 1)
+                    if k < len(streets) and streets[k] <= s.end() and (s.start() == 0 or not text[s.start() - 1].isalnum()):
+                        hits.add((s.start(), s.end(), "street"))
+        for m in NUMBERS.finditer(text):
+            p = PHONE.match(text, m.start())
+            if p:
+                hits.add((p.start(), p.end(), "phone"))
+            d = ID.match(text, m.start())
+            if d and checked(d.group()):
+                hits.add((d.start(), d.end(), "idnum"))
         order = {"email": 0, "idnum": 1, "phone": 2, "street": 3, "name": 4}
-        kept: list[tuple[int, int, str]] = []
-        taken: list[tuple[int, int]] = []
-        for a, b, k in sorted(set(hits), key=lambda h: (order[h[2]], h[0], -h[1])):
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
-                kept.append((a, b, k))
-        return sorted(kept)
+        taken = Taken()
+        return sorted(h for h in sorted(hits, key=lambda h: (order[h[2]], h[0], -h[1])) if taken.add(h[0], h[1]))
 
 
 def placeholders(text: str, finds: list[tuple[int, int, str]]) -> str:
