@@ -12,24 +12,32 @@ _LOCAL: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is set, a temporary one in local mode and an error on a
+    cluster, whose executors could not read each other's disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "root" not in _LOCAL:
         _LOCAL["root"] = "file://" + tempfile.mkdtemp(prefix="lorewright-")
     return _LOCAL["root"]
 
 
+def own(spark: SparkSession) -> str:
+    """This application's part of the folder."""
+    return f"{root(spark)}/{FOLDER}/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{root(df.sparkSession)}/{FOLDER}/{name}-{uuid.uuid4().hex}"
+    path = f"{own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all tables written here. Results that were not stored yet may still read them."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{FOLDER}")
+    """Delete all tables that this application wrote here. Results that were not stored yet may still read them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(own(spark))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -172,7 +172,8 @@ def batches_of(df: DataFrame, size: int = 10, seq: str = "chunk_seq", content: s
     return grouped.select("batch_id", F.array_join(F.transform("c", lambda x: F.concat(x[content], F.lit("\n\n"))), "").alias("text"))
 
 
-def head_sample(df: DataFrame, n: int = 3, seq: str = "chunk_seq", content: str = "content") -> DataFrame:
-    """(text): the first chunks, each followed by a blank line."""
-    top = df.orderBy(seq).limit(n).agg(F.array_sort(F.collect_list(F.struct(seq, content))).alias("c"))
+def head_sample(df: DataFrame, n: int = 3, content: str = "content", order: list[str] | None = None) -> DataFrame:
+    """(text): the first chunks in the given order (that of their number), each followed by a blank line."""
+    by = order or ["chunk_seq"]
+    top = df.orderBy(*by).limit(n).agg(F.array_sort(F.collect_list(F.struct(*by, content))).alias("c"))
     return top.select(F.array_join(F.transform("c", lambda x: F.concat(x[content], F.lit("\n\n"))), "").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,12 +25,25 @@ def reply_array(raw: Column | str) -> Column:
     return F.when((first > 0) & (F.instr(t, "]") > 0) & (last > first), F.substring(t, first, last - first + 1))
 
 
-def parsed(raw: Column | str) -> Column:
-    """The triples of a reply: none without an array, null if the array is malformed; triples with an empty field are dropped."""
-    array = reply_array(raw)
-    got = F.from_json(array, TRIPLES)
-    full = lambda t: (F.coalesce(t["subject"], F.lit("")) != "") & (F.coalesce(t["predicate"], F.lit("")) != "") & (F.coalesce(t["object"], F.lit("")) != "")
-    return F.when(array.isNull(), F.array().cast(TRIPLES)).when(got.isNull(), F.lit(None).cast(TRIPLES)).otherwise(F.filter(got, lambda t: t.isNotNull() & full(t)))
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later expressions refer to without its being computed again for each of them."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def parsed(df: DataFrame, raw: str, out: str = "triples") -> DataFrame:
+    """The triples of a reply: none without an array, null if the array is malformed or a field is no text; names may
+    be in any letter case; triples with an empty field are dropped."""
+    df = held(df, "_array", reply_array(raw))
+    df = held(df, "_got", F.from_json("_array", "array<map<string,variant>>"))
+    # of a name that is given twice, the last counts
+    last = lambda m, f: F.get(F.reverse(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == f)), F.lit(0))["value"]
+    df = held(df, "_low", F.transform("_got", lambda m: F.struct(*[last(m, f).alias(f) for f in FIELDS])))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    odd = F.exists("_low", lambda t: reduce(lambda a, b: a | b, [~kind(t[f]).isin("STRING", "VOID") for f in FIELDS]))
+    flat = F.transform("_low", lambda t: F.struct(*[F.coalesce(F.variant_get(t[f], "$", "string"), F.lit("")).alias(f) for f in FIELDS]))
+    full = lambda t: (t["subject"] != "") & (t["predicate"] != "") & (t["object"] != "")
+    value = F.when(F.col("_array").isNull(), F.array().cast(TRIPLES)).when(F.col("_got").isNull() | odd, F.lit(None).cast(TRIPLES)).otherwise(F.filter(flat, full))
+    return held(df, out, value).drop("_array", "_got", "_low")
 
 
 def parse_strictly(raw: str | None) -> list[dict] | None:
@@ -63,7 +77,7 @@ def parse_strictly(raw: str | None) -> list[dict] | None:
 def parse_replies(df: DataFrame, raw: str = "raw", impl: str = "native") -> DataFrame:
     """``df`` with ``triples`` and ``malformed``."""
     if impl == "native":
-        out = df.withColumn("triples", parsed(raw))
+        out = parsed(df, raw)
     else:
         strict = F.udf(parse_strictly, TRIPLES, useArrow=True)
         out = df.withColumn("triples", strict(F.col(raw)))

@@ -108,17 +108,21 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
         def work(batches, block=block):
             ids, m = block.value
             best_s = np.full((len(ids), 0), -np.inf)
-            keys = np.empty((len(ids), 0), dtype=object)
+            keys = np.empty((len(ids), 0), dtype=object if kind == "string" else np.int64)
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = np.array(b["v"].to_pylist(), dtype=np.float64)
-                s = np.hstack([best_s, m @ scaled(x).T])
-                all_k = np.hstack([keys, np.broadcast_to(np.array(b["k"].to_pylist(), dtype=object), (len(ids), len(x)))])
-                # equal scores are settled by key, so a few more than k are looked at
-                order = np.argsort(-s, axis=1, kind="stable")[:, : max(k * 4, k + 16)]
+                # rows in order of key: among equal scores the first k are those of the smallest keys
+                own = np.array(b["k"].to_pylist(), dtype=keys.dtype)
+                by_key = np.argsort(own, kind="stable")
+                s = np.round(m @ scaled(x[by_key]).T, 12)  # a product's last digits depend on where a row stands
+                top = first_k(s, k)
+                s = np.hstack([best_s, np.take_along_axis(s, top, 1)])
+                all_k = np.hstack([keys, own[by_key][top]])
+                order = np.stack([np.lexsort((ks, -sc))[:k] for ks, sc in zip(all_k, s)])
                 best_s, keys = np.take_along_axis(s, order, 1), np.take_along_axis(all_k, order, 1)
-            out = [(i, kk, ss) for i, ks, sc in zip(ids, keys, best_s) for ss, kk in sorted(zip(sc, ks), key=lambda z: (-z[0], z[1]))[:k]]
+            out = [(i, kk, ss) for i, ks, sc in zip(ids, keys.tolist(), best_s.tolist()) for ss, kk in zip(sc, ks)]
             cols = list(zip(*out)) if out else ([], [], [])
             yield pa.RecordBatch.from_pydict({"qid": list(cols[0]), "k": list(cols[1]), "similarity": list(cols[2])}, schema=pa.schema([("qid", _arrow(qkind)), ("k", _arrow(kind)), ("similarity", pa.float64())]))
 
@@ -132,6 +136,18 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 0, metric: str = "
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("qid").alias(query_key), F.col("k").alias(key), "similarity", "rank")
 
 
+def first_k(s: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k greatest numbers; of equal ones those that stand first."""
+    if s.shape[1] <= k:
+        return np.tile(np.arange(s.shape[1]), (len(s), 1))
+    bound = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    # everything above the k-th number, then as many equal to it as are left, in order
+    above, equal = s > bound, s == bound
+    room = k - above.sum(1, keepdims=True)
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= room))
+    return np.nonzero(chosen)[1].reshape(len(s), k)
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 

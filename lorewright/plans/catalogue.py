@@ -82,7 +82,8 @@ def batch10_concat(spark, d):
 
 
 def head_sample(spark, d):
-    return chunk.head_sample(file_chunks(spark, d))
+    out = chunk.split_by_sentence(source_files(spark, d), "text", "name", chunk.ChunkOptions(1000, 200))
+    return chunk.head_sample(out, order=["name", "file_id", "index"])
 
 
 # --- triples --------------------------------------------------------------------------------------------------
@@ -211,7 +212,7 @@ def vectors_topk(spark, d):
     rows = usable_vectors(spark, d)
     q = rows.filter("chunk_seq % 50 = 0").select(F.col("chunk_seq").alias("query_id"), "embedding")
     found = vector.top_k_batch(rows, q, 5, "cosine", "chunk_seq")
-    return found.select("query_id", "rank", F.round("similarity", 4).alias("similarity"))
+    return found.select("query_id", "rank", "chunk_seq", F.round("similarity", 4).alias("similarity"))
 
 
 def vector_sources(spark, d):
@@ -347,13 +348,13 @@ def stream_event_counts(spark, d):
     """Event-time counts by Structured Streaming, run to its end over the stored events."""
     import uuid
 
-    from lorewright.functions.scratch import root
+    from lorewright.functions.scratch import own
     from lorewright.streaming.ingest import late_counts
 
     one = table(spark, d, "events")
     stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     name = "events_" + uuid.uuid4().hex
-    out = f"{root(spark)}/{name}"
+    out = f"{own(spark)}/{name}"
 
     def keep(df, number):
         df.write.mode("overwrite").parquet(out)

@@ -55,7 +55,8 @@ def compile_documents(spark: SparkSession, documents: DataFrame, vectors: Vector
     embedded = embed_column(chunks, "content", models.embedder, parallel=parallel)
     vectors.add(vector.vector_rows(embedded), mode)
     replies = written(triples.extract(chunk.batches_of(chunks), models.chat), "replies")
-    rows = replies.select("batch_id", F.posexplode("triples").alias("pos", "t")).select((F.col("batch_id") * 1000 + F.col("pos")).alias("triple_seq"), "t.*")
+    flat = replies.select("batch_id", F.posexplode("triples").alias("pos", "t"))
+    rows = chunk.with_sequence(flat, ["batch_id", "pos"], "triple_seq").select("triple_seq", "t.*")
     facts.add(rows, mode)
     failed = [r["error"] for r in replies.filter("error is not null").select("error").limit(20).collect()]
     counts = replies.agg(F.sum(F.size("triples")).alias("n"), F.sum(F.col("error").isNotNull().cast("int")).alias("bad")).first()

@@ -88,7 +88,7 @@ def context(head: str) -> str:
 def topk(metric: str, dims: int = 64, k: int = 5) -> str:
     f = "list_cosine_similarity" if metric == "cosine" else "list_dot_product"
     e = f"CAST(embedding[1:{dims}] AS DOUBLE[])"
-    return f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 4) AS similarity FROM (SELECT q.vec_id AS query_id, v.vec_id, {f}(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {f}(q.e, v.e) DESC, v.vec_id) AS rank
+    return f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 4) AS similarity FROM (SELECT q.vec_id AS query_id, v.vec_id, {f}(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({f}(q.e, v.e), 12) DESC, v.vec_id) AS rank
       FROM (SELECT vec_id, {e} AS e FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, {e} AS e FROM embeddings) v) WHERE rank <= {k}"""
 
 
@@ -143,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_expand": f"SELECT triple_seq, 1 AS hop FROM {CLEAN} WHERE subject IN (SELECT name FROM entities WHERE kind = 'organisation') OR object IN (SELECT name FROM entities WHERE kind = 'organisation')",
         "vector_topk_cosine": topk("cosine"), "vector_topk_dot": topk("dot"), "vector_topk_default": topk("cosine"), "vector_truncated_dims": topk("cosine", 32),
         "vector_topk_single": "SELECT v.vec_id, round(list_cosine_similarity(q.e, v.e), 4) AS similarity FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id LIMIT 5",
-        "vectors_topk": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS similarity FROM (SELECT q.chunk_seq AS query_id, list_cosine_similarity(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.chunk_seq ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.chunk_seq) AS rank FROM (SELECT * FROM {USABLE} WHERE chunk_seq % 50 = 0) q, {USABLE} v) WHERE rank <= 5",
+        "vectors_topk": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_seq, round(s, 4) AS similarity FROM (SELECT q.chunk_seq AS query_id, v.chunk_seq, list_cosine_similarity(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.chunk_seq ORDER BY round(list_cosine_similarity(q.e, v.e), 12) DESC, v.chunk_seq) AS rank FROM (SELECT * FROM {USABLE} WHERE chunk_seq % 50 = 0) q, {USABLE} v) WHERE rank <= 5",
         "vector_sources": "SELECT DISTINCT chunk_seq, metadata['source'] AS source FROM vectors WHERE chunk_seq IS NOT NULL",
         "vector_count": f"SELECT count(*) AS n FROM {USABLE}", "triple_count": f"SELECT count(*) AS n FROM {CLEAN}", "health_stats": f"SELECT (SELECT count(*) FROM {USABLE}) AS vectors, (SELECT count(*) FROM {CLEAN}) AS triples",
         "embed_sanitised": f"SELECT doc_id, CAST(length(t) AS INTEGER) AS characters, md5(t) AS digest FROM (SELECT doc_id, replace({trim('text')}, chr(0), '') AS t FROM {DOCS})",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -43,12 +44,20 @@ def dispatch(body: str | bytes, methods: dict) -> dict:
         return head | {"error": {"code": e.code, "message": str(e)}}
 
 
+def keep_alive(every: float = 30.0, sleep=time.sleep) -> Iterator[str]:
+    """The event stream of the tools' endpoint: where to post, then a ping every 30 seconds until the client is gone."""
+    yield "event: endpoint\ndata: /mcp\n\n"
+    while True:
+        sleep(every)
+        yield ": ping\n\n"
+
+
 class Service:
     """What the routes do, apart from HTTP."""
 
     def __init__(self, engine: Engine):
         self.engine = engine
-        self.log: list[dict] = []
+        self.log: deque[dict] = deque(maxlen=10_000)  # the latest requests
 
     def tools(self) -> list[dict]:
         listed = ((self.engine.agent.get("mcp") or {}).get("tools")) or []
@@ -133,7 +142,7 @@ class Service:
             return 200, self.health()
         if path == "/mcp":
             if method == "GET":
-                return 200, iter(["event: endpoint\ndata: /mcp\n\n"])
+                return 200, keep_alive()
             return (200, self.mcp(body)) if method == "POST" else (405, {"error": "method not allowed"})
         if path == "/rpc/agent":
             return (200, self.agent(body)) if method == "POST" else (405, {"error": "method not allowed"})
@@ -169,9 +178,12 @@ def serve(engine: Engine, port: int) -> ThreadingHTTPServer:
             events = not isinstance(reply, (dict, str))
             self.send_header("Content-Type", "text/event-stream" if events else "application/json")
             self.end_headers()
-            for part in reply if events else [reply if isinstance(reply, str) else json.dumps(reply)]:
-                self.wfile.write(part.encode())
-                self.wfile.flush()
+            try:
+                for part in reply if events else [reply if isinstance(reply, str) else json.dumps(reply)]:
+                    self.wfile.write(part.encode())
+                    self.wfile.flush()
+            except (BrokenPipeError, ConnectionResetError):  # the client is gone
+                pass
             service.log.append({"method": self.command, "path": self.path, "status": status, "seconds": time.time() - began, "remote": self.client_address[0]})
 
         do_GET = do_POST = do_OPTIONS = do_PUT = do_DELETE = _any

@@ -15,7 +15,8 @@ TRIPLE = "triple_seq long, subject string, predicate string, object string"
 
 class TableStore:
     """Versions of one table under a folder. A version is written whole and then becomes current by having a success
-    mark, so readers see either the old or the new one; earlier versions are dropped when the next one is in place."""
+    mark, so readers see either the old or the new one; the version before stays for those who still read it, earlier ones are
+    dropped."""
 
     schema = ""
     key: tuple[str, ...] = ()
@@ -54,7 +55,7 @@ class TableStore:
             return
         versions = self._versions()
         df.write.parquet(f"{self.path}/v-{versions[-1] + 1 if versions else 1}")
-        for old in versions:
+        for old in versions[:-1]:  # whoever still reads the version before keeps it
             self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{old}"), True)
 
     def count(self) -> int:
