@@ -265,15 +265,32 @@ def one_off(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def split_keys(key: str, forms: set[str], near: set[str], cores: set[str], longest: int) -> set[str]:
+class Parts:
+    """Words, with their ``one_off`` variants, that a stretch of a spelling may be, one error in it or none."""
+
+    def __init__(self, words: set[str], size: int):
+        self.words, self.size = words, size
+        self.near = {x for w in words for x in one_off(w)}
+        # an error touches two neighbouring letters at most, so a long word keeps its first or its last letters
+        self.heads, self.tails = {w[:size] for w in words}, {w[-size:] for w in words}
+        self.longest = max(map(len, words), default=0)
+
+    def may_be(self, s: str) -> bool:
+        return len(s) < 2 * self.size + 1 or s[: self.size] in self.heads or s[-self.size :] in self.tails
+
+    def met(self, s: str) -> set[str]:
+        return one_off(s) & self.near
+
+
+def split_keys(key: str, forms: Parts, cores: Parts) -> set[str]:
     """What a spelling may hold as distinctive part next to a form known to go with one, each without one letter, as far
-    as it occurs in ``cores``. near: ``one_off`` of the forms over 3 letters, which may hold an error themselves."""
+    as it occurs in ``cores``. Forms over 3 letters may hold an error themselves."""
     out = set()
     for body, titled in bodies(key) | {(key[3:], False)} if key.startswith("the") else bodies(key):
-        for n in range(0 if titled else 1, min(longest + 1, len(body) - 1) + 1):
+        for n in range(0 if titled else 1, min(forms.longest + 1, len(body) - 1) + 1):
             for form, rest in ((body[:n], body[n:]), (body[len(body) - n :], body[: len(body) - n])):
-                if not form or form in forms or not (len(form) < 4 or near.isdisjoint(one_off(form))):
-                    out |= one_off(rest) & cores
+                if len(rest) <= cores.longest + 1 and cores.may_be(rest) and (not form or form in forms.words or (len(form) > 3 and forms.may_be(form) and forms.met(form))):
+                    out |= cores.met(rest)
     return out
 
 
@@ -372,14 +389,14 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         new_forms = forms - forms_before
         parts = materialize(fresh.filter("not learned or length(core) < 4").withColumn("part", F.explode(whole)), "name-parts")
         if new_forms and not parts.isEmpty():
-            near_parts = {r["part"] for r in parts.select("part").distinct().collect()}
-            held = spark.sparkContext.broadcast((new_forms, {x for f in new_forms if len(f) > 3 for x in one_off(f)}, near_parts, max(map(len, forms), default=0)))
+            held = spark.sparkContext.broadcast((Parts(new_forms, 2), Parts({r["core"] for r in parts.select("core").distinct().collect()}, 3)))
 
             def splits(batches, held=held):
+                forms_, cores_ = held.value
                 for b in batches:
                     out = ([], [])
                     for key in b["folded"].to_pylist():
-                        for part in split_keys(key, *held.value):
+                        for part in split_keys(key, forms_, cores_):
                             out[0].append(key)
                             out[1].append(part)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["folded", "part"])
