@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions import text as tx
 from lorewright.operators import chunk, graph, hybrid, rerank, triples, vector
+from lorewright.plans import cases
 from lorewright.plans.oracles import oracle_sql  # noqa: F401
 from lorewright.sources import files
 from lorewright.sources.stores import VECTOR  # noqa: F401
@@ -116,11 +117,18 @@ def triples_build(spark, d):
 
 
 def replies(spark, d) -> DataFrame:
-    """Model replies made from the stored facts: plain, fenced, with prose around, without array, malformed."""
+    """Model replies made from the stored facts: plain, fenced, with prose around, without array, cut off, an empty
+    array, names in capitals, a number for a text, an empty field."""
     t = table(spark, d, "triples").filter("triple_seq is not null and subject is not null and predicate is not null and object is not null").dropDuplicates(["triple_seq"])
-    array = F.concat(F.lit('[{"subject":"'), F.regexp_replace("subject", r'[\\"\p{Cc}]', " "), F.lit('","predicate":"'), F.regexp_replace("predicate", r'[\\"\p{Cc}]', " "), F.lit('","object":"'), F.regexp_replace("object", r'[\\"\p{Cc}]', " "), F.lit('"}]'))
-    way = F.col("triple_seq") % 5
-    raw = F.when(way == 0, array).when(way == 1, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(way == 2, F.concat(F.lit("Here they are: "), array, F.lit(" as asked."))).when(way == 3, F.lit("No facts.")).otherwise(F.lit('[{"subject": "cut off"'))
+    text = lambda c: F.regexp_replace(c, r'[\\"\p{Cc}]', " ")
+    written = lambda s, p, subject: F.concat(F.lit(f'[{{"{s}":'), subject, F.lit(f',"{p}":"'), text("predicate"), F.lit('","object":"'), text("object"), F.lit('"}]'))
+    quoted = F.concat(F.lit('"'), text("subject"), F.lit('"'))
+    array = written("subject", "predicate", quoted)
+    ways = [
+        array, F.concat(F.lit("```json\n"), array, F.lit("\n```")), F.concat(F.lit("Here they are: "), array, F.lit(" as asked.")), F.lit("No facts."), F.lit('[{"subject": "cut off"'), F.lit("[]"),
+        written("Subject", "PREDICATE", quoted), written("subject", "predicate", F.col("triple_seq").cast("string")), written("subject", "predicate", F.lit('""')),
+    ]
+    raw = F.element_at(F.array(*ways), (F.col("triple_seq") % 9 + 1).cast("int"))
     return t.select("triple_seq", raw.alias("raw"))
 
 
@@ -365,7 +373,7 @@ def stream_event_counts(spark, d):
 
 
 def queries() -> dict:
-    return {
+    return cases.queries() | {
         "chunk_text_1000_200": windows_of(1000, 200), "chunk_text_100_20": windows_of(100, 20), "chunk_document": chunk_document, "split_sentences": split_sentences,
         "split_by_sentence_1000": packed_documents(1000, 200), "split_by_sentence_300": packed_documents(300, 60), "split_by_sentence_arrow": packed_documents(1000, 200, "arrow"), "split_files": packed_files(1000, 200), "split_files_arrow": packed_files(1000, 200, "arrow"),
         "chunk_ids": chunk_ids, "options_from_max_tokens": options_from_max_tokens, "chunk_seq": chunk_seq, "batch10_concat": batch10_concat, "head_sample": head_sample,

@@ -1,8 +1,9 @@
-"""Configuration: a YAML subset, environment overrides, validation."""
+"""Configuration: YAML, environment overrides, validation."""
 
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -14,74 +15,231 @@ class ConfigError(ValueError):
     pass
 
 
-def _scalar(s: str):
+class YamlError(ConfigError):
+    pass
+
+
+BLOCK = re.compile(r"([|>])([+-]?)(\d?)([+-]?)\Z")
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "e": "\x1b", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _plain(s: str):
+    """The value of an unquoted scalar."""
     s = s.strip()
-    if s[:1] in "\"'" and s[-1:] == s[:1] and len(s) > 1:
-        return s[1:-1].replace('\\"', '"').replace("\\n", "\n") if s[0] == '"' else s[1:-1].replace("''", "'")
-    s = s.split(" #")[0].strip()
-    if s in ("", "~", "null"):
+    if s in ("", "~", "null", "Null", "NULL"):
         return None
-    if s in ("true", "false"):
-        return s == "true"
-    if s == "[]":
-        return []
-    if s == "{}":
-        return {}
-    try:
-        return int(s)
-    except ValueError:
+    if s.lower() in ("true", "false"):
+        return s.lower() == "true"
+    for kind in (int, float):
         try:
-            return float(s)
+            return kind(s) if not s.startswith("_") and "_" not in s else s
         except ValueError:
-            return s
+            pass
+    return s
+
+
+def _unquoted(s: str) -> str:
+    """The text of a quoted scalar."""
+    if s[0] == "'":
+        return s[1:-1].replace("''", "'")
+    return re.sub(r"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else ESCAPES.get(m[1], m[1]), s[1:-1], flags=re.S)
+
+
+def _without_comment(s: str) -> str:
+    """A line up to a comment, which begins at # at its start or behind white space, outside quotes."""
+    quote = ""
+    for i, c in enumerate(s):
+        if quote:
+            if c == quote and (quote == "'" or s[i - 1] != "\\"):
+                quote = ""
+        elif c in "\"'" and (i == 0 or s[i - 1] in " [{,:\t"):
+            quote = c
+        elif c == "#" and (i == 0 or s[i - 1] in " \t"):
+            return s[:i].rstrip()
+    return s.rstrip()
+
+
+class _Flow:
+    """Scalars and the collections written in brackets and braces."""
+
+    def __init__(self, text: str, anchors: dict):
+        self.text, self.at, self.anchors = text, 0, anchors
+
+    def blank(self):
+        while self.at < len(self.text) and self.text[self.at] in " \t\n":
+            self.at += 1
+
+    def value(self, ends: str):
+        self.blank()
+        c = self.text[self.at : self.at + 1]
+        if c == "[":
+            return self.items("]", self.value)
+        if c == "{":
+            return dict(self.items("}", self.pair))
+        if c and c in "\"'":
+            m = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\"", re.S).match(self.text, self.at)
+            if not m:
+                raise YamlError(f"a quote is not closed: {self.text!r}")
+            self.at = m.end()
+            return _unquoted(m.group())
+        m = re.compile(rf"(?:(?!: |:$)[^{re.escape(ends)}])*").match(self.text, self.at)
+        self.at = m.end()
+        word = m.group().strip()
+        return self.anchors[word[1:]] if word.startswith("*") and word[1:] in self.anchors else _plain(word)
+
+    def pair(self, ends: str):
+        key = self.value(":" + ends)
+        self.blank()
+        if self.text[self.at : self.at + 1] != ":":
+            return str(key), None
+        self.at += 1
+        return str(key), self.value(ends)
+
+    def items(self, close: str, one):
+        self.at += 1
+        out = []
+        while True:
+            self.blank()
+            c = self.text[self.at : self.at + 1]
+            if not c:
+                raise YamlError(f"{close} is missing: {self.text!r}")
+            if c == close:
+                self.at += 1
+                return out
+            if c == ",":
+                self.at += 1
+                continue
+            out.append(one("," + close))
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.lines = text.replace("\r\n", "\n").expandtabs(2).split("\n")
+        self.at = 0
+        self.anchors: dict = {}
+
+    def ahead(self) -> tuple[int, str] | None:
+        """Indent and text of the next line that says something."""
+        while self.at < len(self.lines):
+            line = _without_comment(self.lines[self.at])
+            if line.strip() and line.strip() not in ("---", "..."):
+                return len(line) - len(line.lstrip(" ")), line.strip()
+            self.at += 1
+        return None
 
+    def node(self, least: int):
+        """The block that begins at the next line, if it is indented by ``least`` at least."""
+        here = self.ahead()
+        if here is None or here[0] < least:
+            return None
+        indent, text = here
+        if text == "-" or text.startswith("- "):
+            return self.sequence(indent)
+        if _key(text):
+            return self.mapping(indent)
+        self.at += 1
+        return self.inline(text, indent - 1)
+
+    def sequence(self, indent: int) -> list:
+        out = []
+        while (here := self.ahead()) and here[0] == indent and (here[1] == "-" or here[1].startswith("- ")):
+            rest = here[1][1:].strip()
+            nested = rest == "-" or rest.startswith("- ")
+            if nested or _key(rest):
+                # a list or mapping that begins behind the dash
+                inner = indent + len(here[1]) - len(rest)
+                self.lines[self.at] = " " * inner + self.lines[self.at].strip()[1:].strip()
+                out.append(self.sequence(inner) if nested else self.mapping(inner))
+            else:
+                self.at += 1
+                out.append(self.inline(rest, indent))
+        return out
 
-def read_yaml(text: str):
-    """Nested mappings, lists and plain or quoted scalars: what configuration files use."""
-    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#") and x.strip() != "---"]
-
-    def block(i: int, indent: int):
-        if i < len(lines) and lines[i][1].startswith("- ") or i < len(lines) and lines[i][1] == "-":
-            out: list = []
-            while i < len(lines) and lines[i][0] == indent and lines[i][1].startswith("-"):
-                rest = lines[i][1][1:].strip()
-                if not rest:
-                    value, i = block(i + 1, lines[i + 1][0])
-                elif _key(rest):
-                    lines[i] = (indent + 2, rest)
-                    value, i = block(i, indent + 2)
-                else:
-                    value, i = _scalar(rest), i + 1
-                out.append(value)
-            return out, i
+    def mapping(self, indent: int) -> dict:
         found: dict = {}
-        while i < len(lines) and lines[i][0] == indent and (k := _key(lines[i][1])):
-            key, rest = k
-            if rest in ("|", ">"):
-                parts, i = [], i + 1
-                while i < len(lines) and lines[i][0] > indent:
-                    parts.append(lines[i][1])
-                    i += 1
-                found[key] = ("\n" if rest == "|" else " ").join(parts)
-            elif rest:
-                found[key], i = _scalar(rest), i + 1
-            elif i + 1 < len(lines) and (lines[i + 1][0] > indent or lines[i + 1][0] == indent and lines[i + 1][1].startswith("-")):
-                found[key], i = block(i + 1, lines[i + 1][0])
+        while (here := self.ahead()) and here[0] == indent and (pair := _key(here[1])):
+            key, rest = pair
+            self.at += 1
+            value = self.inline(rest, indent, in_mapping=True)
+            if key == "<<":
+                found = (value if isinstance(value, dict) else {}) | found
             else:
-                found[key], i = None, i + 1
-        return found, i
+                found[key] = value
+        return found
+
+    def inline(self, rest: str, indent: int, in_mapping: bool = False):
+        """The value that follows a key or a dash, with the lines that belong to it."""
+        if m := re.match(r"&(\S+)\s*", rest):
+            value = self.inline(rest[m.end() :], indent, in_mapping)
+            self.anchors[m[1]] = value
+            return value
+        rest = re.sub(r"^!\S*\s*", "", rest)
+        if m := BLOCK.match(rest):
+            return self.block(m[1], m[2] or m[4], indent + int(m[3]) if m[3] else 0, indent)
+        if not rest:
+            here = self.ahead()
+            if here is None:
+                return None
+            # a list may stand as far left as the key that it belongs to
+            dash = in_mapping and here[0] == indent and (here[1] == "-" or here[1].startswith("- "))
+            return self.node(indent if dash else indent + 1)
+        while (here := self.ahead()) and here[0] > indent:  # a value over several lines
+            rest += ("\n" if rest[0] in "[{" else " ") + here[1]
+            self.at += 1
+        while rest[0] in "[{\"'":
+            try:
+                return _Flow(rest, self.anchors).value("")
+            except YamlError:  # what opened may close further down, however little that line is indented
+                here = self.ahead()
+                if here is None:
+                    raise
+                rest += "\n" + here[1]
+                self.at += 1
+        return self.anchors[rest[1:]] if rest[0] == "*" and rest[1:] in self.anchors else _plain(rest)
+
+    def block(self, style: str, chomp: str, inner: int, indent: int) -> str:
+        """The lines of a block scalar as they stand, comments and blank lines included."""
+        got: list[str] = []
+        while self.at < len(self.lines):
+            line = self.lines[self.at]
+            wide = len(line) - len(line.lstrip(" "))
+            if line.strip():
+                if wide <= indent:
+                    break
+                inner = inner or wide
+                if wide < inner:
+                    break
+            got.append(line[inner:] if inner else "")
+            self.at += 1
+        kept = len(got)
+        while kept and not got[kept - 1].strip():
+            kept -= 1
+        body, extra = got[:kept], len(got) - kept
+        if style == "|":
+            text = "\n".join(body)
+        else:
+            text = ""
+            for i, line in enumerate(body):
+                before = body[i - 1] if i else ""
+                wide = line[:1] == " " or before[:1] == " "
+                text += line if not i else ("\n" + line if wide or not line else line if not before else " " + line)
+        return text if chomp == "-" or not body else text + "\n" * (1 + extra if chomp == "+" else 1)
 
-    return block(0, lines[0][0])[0] if lines else {}
+
+def read_yaml(text: str):
+    """What configuration files use of YAML: nested mappings and lists in both styles, scalars plain, quoted or as blocks,
+    anchors, merged mappings and comments; one document."""
+    got = _Reader(text.removeprefix("\ufeff")).node(0)
+    return {} if got is None else got
 
 
 def _key(s: str):
-    at = 0
-    if s[:1] in "\"'":
-        at = s.find(s[0], 1) + 1
-    i = s.find(":", at)
-    if i < 0 or (i + 1 < len(s) and s[i + 1] != " "):
-        return None
-    return str(_scalar(s[:i])), s[i + 1 :].strip()
+    """(key, rest) of a line that begins with a key."""
+    m = re.match(r"('(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\")\s*:(?:\s+|$)", s)
+    if m:
+        return _unquoted(m[1]), s[m.end() :].strip()
+    m = re.match(r"(?![\[{\"'|>&*!%@`])(.*?)\s*:(?:\s+|$)", s)
+    return (str(m[1]), s[m.end() :].strip()) if m and m[1] else None
 
 
 def write_yaml(value, indent: int = 0) -> str:
@@ -89,12 +247,12 @@ def write_yaml(value, indent: int = 0) -> str:
     if isinstance(value, dict):
         out = []
         for k, v in value.items():
-            out.append(f"{pad}{k}:\n{write_yaml(v, indent + 2)}" if isinstance(v, (dict, list)) and v else f"{pad}{k}: {_text(v)}\n")
+            out.append(f"{pad}{_text(str(k))}:\n{write_yaml(v, indent + 2)}" if isinstance(v, (dict, list)) and v else f"{pad}{_text(str(k))}: {_text(v)}\n")
         return "".join(out)
     if isinstance(value, list):
         out = []
         for v in value:
-            if isinstance(v, dict) and v:
+            if isinstance(v, (dict, list)) and v:
                 body = write_yaml(v, indent + 2)
                 out.append(f"{pad}- {body[indent + 2 :]}")
             else:
@@ -112,8 +270,8 @@ def _text(v) -> str:
         return str(v)
     if v == [] or v == {}:
         return "[]" if v == [] else "{}"
-    plain = v and _scalar(v) == v and not any(c in v for c in ":#\n\"'{}[]") and v[0] not in "-&*!|>%@`"
-    return v if plain else '"' + v.replace('"', '\\"').replace("\n", "\\n") + '"'
+    plain = v and v == v.strip() and _plain(v) == v and not any(c in v for c in ":#\n\t\r\"'{}[],\\") and v[0] not in "-&*!|>%@`?"
+    return v if plain else '"' + v.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r") + '"'
 
 
 @dataclass(frozen=True)

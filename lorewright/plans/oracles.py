@@ -99,9 +99,10 @@ def parse_sql() -> str:
     c = lambda x: REPLY.format(x).replace("\\\\\\\\", "\\\\")
     clean = {f: c(f) for f in ("subject", "predicate", "object")}
     full = " AND ".join(f"{v} <> ''" for v in clean.values())
-    pick = lambda f: f"CASE WHEN triple_seq % 5 < 3 AND {full} THEN {clean[f]} END AS {f}"
-    return f"""SELECT triple_seq, triple_seq % 5 = 4 AND false AS malformed_, triple_seq % 5 = -1 AS malformed, CAST(CASE WHEN triple_seq % 5 < 3 AND {full} THEN 1 ELSE 0 END AS INTEGER) AS n, {pick("subject")}, {pick("predicate")}, {pick("object")}
-      FROM (SELECT DISTINCT ON (triple_seq) * FROM triples WHERE triple_seq IS NOT NULL AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL ORDER BY triple_seq)""".replace("triple_seq % 5 = 4 AND false AS malformed_, ", "")
+    found = f"triple_seq % 9 IN (0, 1, 2, 6) AND {full}"
+    pick = lambda f: f"CASE WHEN {found} THEN {clean[f]} END AS {f}"
+    return f"""SELECT triple_seq, triple_seq % 9 = 7 AS malformed, CAST(CASE WHEN {found} THEN 1 ELSE 0 END AS INTEGER) AS n, {pick("subject")}, {pick("predicate")}, {pick("object")}
+      FROM (SELECT DISTINCT ON (triple_seq) * FROM triples WHERE triple_seq IS NOT NULL AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL ORDER BY triple_seq)"""
 
 
 CONV = "(SELECT query_id // 4 AS conv_id, CAST(query_id % 4 AS INTEGER) AS turn, CASE query_id % 4 WHEN 0 THEN 'system' WHEN 2 THEN 'assistant' ELSE 'user' END AS role, coalesce(query, '') AS text FROM (SELECT DISTINCT ON (query_id) * FROM search_queries WHERE query_id IS NOT NULL ORDER BY query_id))"
@@ -119,7 +120,7 @@ def oracle_sql() -> dict[str, str]:
     limit = "(p_size * 173 - 400)"
     overlap = lambda q, c: f"len(list_intersect(list_distinct({terms(q)}), list_distinct({terms(c)}))) / CAST(greatest(1, len(list_distinct({terms(q)}))) AS DOUBLE)"
     msg = "'status ' || CAST(event_id % 7 + 425 AS VARCHAR) || CASE event_id % 5 WHEN 0 THEN ': rate limit' WHEN 1 THEN ': RATE LIMIT' ELSE '' END"
-    return {
+    known = {
         "chunk_text_1000_200": windows(1000, 200), "chunk_text_100_20": windows(100, 20),
         "chunk_document": windows(500, 100, "NULL"),
         "split_sentences": f"SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])([ \\n\\t])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM {DOCS})",
@@ -169,3 +170,6 @@ def oracle_sql() -> dict[str, str]:
         "agent_slugs": "SELECT DISTINCT entity_id, CASE WHEN name IS NULL OR name = '' THEN 'agent' ELSE lower(replace(name, ' ', '_')) END AS slug FROM entities WHERE entity_id IS NOT NULL",
         "stream_event_counts": "SELECT date_trunc('hour', ts) AS begin_at, event_type, count(*) AS n FROM events GROUP BY ALL",
     }
+    from lorewright.plans import cases
+
+    return known | cases.oracle_sql(f"{SEQ} SELECT * FROM n", CLEAN, known["hash_embed_documents"])

@@ -20,10 +20,65 @@ from lorewright.streaming.ingest import ingest
 def test_yaml_round_trip():
     data = {"agent": {"name": "a b", "note": 'x: "y"\nz', "empty": None, "on": True}, "list": [{"name": "t", "n": 1, "sub": {"k": [1, 2]}}, "plain", "- dash"], "port": 8000, "f": 1.5, "none": []}
     assert cfg.read_yaml(cfg.write_yaml(data)) == data
-    assert cfg.read_yaml("a:\n- b: 1\n  c: 'it''s'\n- d\ne: |\n  x\n  y\n# note\nf: 2 # two\n") == {"a": [{"b": 1, "c": "it's"}, "d"], "e": "x\ny", "f": 2}
+    assert cfg.read_yaml("a:\n- b: 1\n  c: 'it''s'\n- d\ne: |\n  x\n  y\n# note\nf: 2 # two\n") == {"a": [{"b": 1, "c": "it's"}, "d"], "e": "x\ny\n", "f": 2}
     assert cfg.read_yaml("") == {}
 
 
+def test_yaml_as_people_write_it():
+    text = """\
+---
+base: &base
+  a: 1
+  b: [1, 'two', {c: 3, d: "x: y"}]   # flow
+derived:
+  <<: *base
+  b: ~
+same: *base
+prompt: |-
+  One.
+
+  # still text
+    deeper
+  Two: three
+folded: >
+  one
+  two
+
+  three
+kept: |+
+  x
+
+tabs: "a\\tb \\u00e9"
+list:
+- - 1
+  - 2
+- name: n
+  sub:
+    - k
+-
+  z: 1
+url: http://a/#b
+time: 10:30
+long: one
+  two
+"quoted key": yes it is
+empty:
+multi: [
+  1,
+  2
+]
+"""
+    y = cfg.read_yaml(text)
+    assert y["base"] == y["same"] == {"a": 1, "b": [1, "two", {"c": 3, "d": "x: y"}]} and y["derived"] == {"a": 1, "b": None}
+    assert y["prompt"] == "One.\n\n# still text\n  deeper\nTwo: three" and y["folded"] == "one two\nthree\n" and y["kept"] == "x\n\n" and y["tabs"] == "a\tb é"
+    assert y["list"] == [[1, 2], {"name": "n", "sub": ["k"]}, {"z": 1}]
+    assert (y["url"], y["time"], y["long"], y["quoted key"], y["empty"], y["multi"]) == ("http://a/#b", "10:30", "one two", "yes it is", None, [1, 2])
+    assert cfg.read_yaml(cfg.write_yaml(y)) == y
+    for bad in ("a: [1, 2", "a: 'x"):
+        with pytest.raises(cfg.ConfigError):
+            cfg.read_yaml(bad)
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("llm:\n  base_url: http://a\n  api_key: k\n  model: m\nembedder:\n  base_url: http://e\n  dimensions: 5\nport: 9\n")
