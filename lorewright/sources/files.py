@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewright.sources.pdf import pdf_text
+
 TEXT_TYPES = (".md", ".txt", ".markdown")
 PDF_TYPES = (".pdf",)
 DOCUMENT = "path string, name string, content string"
@@ -31,28 +30,6 @@ def base_name(path):
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
-def pdf_text(data: bytes) -> str:
-    """The text of a simple PDF: strings shown by its (possibly deflated) page streams. No OCR, no embedded encodings."""
-    out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
-        body = m[1]
-        try:
-            body = zlib.decompress(body)
-        except zlib.error:
-            pass
-        for block in re.findall(rb"BT(.*?)ET", body, re.S):
-            shown = []
-            for s, arr in re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\\.|[^\]])*)\]\s*TJ", block, re.S):
-                for part in [s] if s else re.findall(rb"\(((?:\\.|[^\\()])*)\)", arr):
-                    part = re.sub(rb"\\([nrt])", lambda z: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}[z[1]], part)
-                    shown.append(re.sub(rb"\\(.)", rb"\1", part).decode("latin-1"))
-            out.append("".join(shown))
-    text = "\n".join(out).strip()
-    if not text:
-        raise ValueError("no text found")
-    return text
-
-
 def _read(files: DataFrame, extract, strict: bool) -> DataFrame:
     """(path, name, content) from (path, content): text as UTF-8 (bad bytes become replacement characters), PDF by an extractor;
     a PDF that cannot be read is left out, or an error with ``strict``."""

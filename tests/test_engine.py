@@ -99,6 +99,29 @@ def pdf(text: str) -> bytes:
     return b"%%PDF-1.4\n1 0 obj\n<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream\nendobj\n"
 
 
+def real_pdf() -> bytes:
+    """Two pages out of order in the file, with subset fonts, a table to Unicode, differences, hex strings, kerning."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0010> <00E9> endbfchar 2 beginbfrange <0024> <003D> <0041> <0040> <0042> [<0066> <00660069>] endbfrange"
+    page1 = b"BT /F1 12 Tf 72 700 Td <0024002500030010> Tj 0 -14 Td <00400041> Tj ET"
+    page2 = b"BT /F2 10 Tf 1 0 0 1 72 700 Tm [(W\\(o\\)) -250 (r\\344d) 20 (s)] TJ T* (\x01\x02\x03) ' ET q /X1 Do Q"
+    form = b"BT /F3 9 Tf (stamped) Tj ET"
+    deflate = lambda b: zlib.compress(b)
+    packed = b"8 0 9 65 " + b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 10 0 R>>".ljust(65) + b"<</Type/Font/Subtype/Type1/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1/fi/eacute/uni20AC]>>>>"
+    parts = [
+        b"1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj", b"4 0 obj\n<</Type/Page/Parent 2 0 R/Contents 6 0 R>>\nendobj", b"3 0 obj\n<</Type/Page/Parent 2 0 R/Contents[5 0 R]>>\nendobj",
+        b"2 0 obj\n<</Type/Pages/Count 2/Kids[3 0 R 4 0 R]/Resources<</Font<</F1 8 0 R/F2 9 0 R>>/XObject<</X1 11 0 R>>>>>>\nendobj",
+    ]
+    stream = lambda n, b, more=b"": b"%d 0 obj\n<<%s/Filter/FlateDecode/Length %d>>\nstream\n" % (n, more, len(b)) + b + b"\nendstream\nendobj"
+    parts += [stream(5, deflate(page1)), stream(6, deflate(page2)), stream(7, deflate(packed), b"/Type/ObjStm/N 2/First 9"), stream(10, deflate(cmap)), stream(11, deflate(form), b"/Type/XObject/Subtype/Form")]
+    return b"%PDF-1.5\n" + b"\n".join(parts) + b"\ntrailer<</Root 1 0 R>>\n%%EOF"
+
+
+def test_pdf_of_the_usual_making():
+    assert files.pdf_text(real_pdf()) == "AB é\nffi\nW(o) räds\nfié€\nstamped"
+    with pytest.raises(ValueError):
+        files.pdf_text(b"%PDF-1.4 nothing")
+
+
 @pytest.fixture()
 def project(tmp_path):
     root = tmp_path / "proj"
