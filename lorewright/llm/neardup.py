@@ -200,8 +200,10 @@ def counted(plain: DataFrame, heavy) -> DataFrame:
     return placed.mapInArrow(count, "num long, key long, df long")
 
 
-def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) -> DataFrame:
-    """(a, b): the pairs of texts (num, kind, n, sketch) whose sketches overlap as much as ``need`` asks for; may repeat."""
+def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000, clusters: DataFrame | None = None) -> DataFrame:
+    """(a, b): the pairs of texts (num, kind, n, sketch) whose sketches overlap as much as ``need`` asks for; may repeat.
+
+    clusters: (num, cluster) of texts that are linked already; two texts of one cluster are not paired."""
     spark = plain.sparkSession
     held = spark.sparkContext.broadcast(heavy_values(plain))  # bounded, see there
     sized = counted(plain, held).join(plain.select("num", "n").hint("shuffle_merge"), "num").select("num", "n", "key", "df").sortWithinPartitions("num")
@@ -233,15 +235,32 @@ def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) ->
     rows = sized.mapInArrow(prefixes, "key long, num long, n int, blocks long, marks binary")
     own = F.pmod(F.xxhash64("num"), "blocks")
     # rows of one block have side 0, those of two blocks sides 1 and 2
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("tinyint").alias("side")
     cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key")
-    lists = rows.select(cell, "num", "n", side, "marks").repartition(F.col("key")).sortWithinPartitions("key")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    if clusters is None:
+        rows = rows.withColumn("own", own).withColumn("other", everywhere)
+        lists = rows.select(cell, "num", "n", side, "marks")
+    else:
+        rows = materialize(rows.join(clusters, "num", "left").withColumn("cluster", F.coalesce("cluster", -1 - F.col("num"))).withColumn("own", own), "clustered-lists")
+        # of a long list that one cluster makes up mostly, its rows stand in their own block only and the few others in all
+        per = rows.filter("blocks > 1").groupBy("key", "cluster").agg(F.count("*").alias("c"))
+        per = per.groupBy("key").agg(F.max_by("cluster", "c").alias("most"), F.max("c").alias("c"), F.sum("c").alias("all")).filter(F.col("all") - F.col("c") <= block)
+        long_lists = materialize(per.select("key", "most", "all"), "long-lists")
+        mostly = join_hot(rows.filter("blocks > 1"), long_lists, ["key"], "all", long_lists.agg(F.sum("all")).first()[0] or 0)
+        stays = F.col("cluster") == F.col("most")
+        mostly = mostly.withColumn("other", F.explode(F.when(stays, F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        mostly = mostly.select(F.xxhash64("key", F.col("other"), F.lit("mostly")).alias("key"), "num", "n", F.lit(0).cast("tinyint").alias("side"), "marks", "cluster")
+        rest = rows.join(long_lists.select("key"), "key", "left_anti").withColumn("other", everywhere)
+        lists = rest.select(cell, "num", "n", side, "marks", "cluster").unionByName(mostly)
+    lists = lists.repartition(F.col("key")).sortWithinPartitions("key")
+    names = [c for c in ("key", "num", "n", "side", "cluster") if c in lists.columns]
+    apart = clusters is not None
 
     def meet(batches):
         rest = None
         for b in batches:
-            rows = np.stack([b[c].to_numpy().astype(np.int64) for c in ("key", "num", "n", "side")]), b["marks"].to_pylist()
+            rows = np.stack([b[c].to_numpy().astype(np.int64) for c in names]), b["marks"].to_pylist()
             rest = rows if rest is None else (np.concatenate([rest[0], rows[0]], axis=1), rest[1] + rows[1])
             cut = int(np.searchsorted(rest[0][0], rest[0][0, -1])) if rest[0].shape[1] else 0
             if cut:
@@ -252,6 +271,12 @@ def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) ->
 
     def overlaps(rows, marks, step=500_000):
         starts, length = runs(rows[0])
+        if apart:  # a list of one cluster has nothing to tell
+            _, key_at = np.unique(np.repeat(np.arange(len(starts)), length), return_index=True)
+            mixed = np.minimum.reduceat(rows[4], key_at) != np.maximum.reduceat(rows[4], key_at)
+            keep = np.repeat(mixed, length)
+            rows, marks = rows[:, keep], [x for x, y in zip(marks, keep.tolist()) if y]
+            starts, length = runs(rows[0])
         if not (length > 1).any():
             return
         size = np.array([len(x) for x in marks], np.int64) // 2
@@ -264,7 +289,8 @@ def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) ->
         bits[row, flat & 255] = True
         bits = np.packbits(bits, axis=1).view(np.uint64)
         lost = size - np.bitwise_count(bits).sum(1)  # marks that share a bit with another one of the text
-        _, num, n, side = rows
+        num, n, side = rows[1:4]
+        cluster = rows[4] if apart else rows[1]
         for m in np.unique(length[length > 1]):
             at = starts[length == m]
             few = max(1, min(m, step // m))
@@ -275,7 +301,7 @@ def candidates(plain: DataFrame, k: int, threshold: float, block: int = 2000) ->
                     i, j = i[i < j], j[i < j]
                     a, b = (at[lo : lo + many, None] + i).ravel(), (at[lo : lo + many, None] + j).ravel()
                     na, nb = n[a], n[b]
-                    ok = (num[a] != num[b]) & ((side[a] != side[b]) | (side[a] == 0)) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
+                    ok = (cluster[a] != cluster[b]) & ((side[a] != side[b]) | (side[a] == 0)) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
                     a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
                     least = need(na, nb, k, threshold)
                     ok = np.minimum(size[a], size[b]) >= least
@@ -312,20 +338,22 @@ def in_filter(df: DataFrame, held, bits: int = 22) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(1 << bits))).mapInArrow(wanted, "kind string, id long, text string")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, block: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(pairs, copies) for a table (kind, id, text): pairs (kind, a, b, jaccard) of class representatives that are at
-    least ``threshold`` similar, and copies (kind, id, rep) with one row per text of a class of several; a text without
-    such a row is its own class."""
-    spark = df.sparkSession
+def prepared(df: DataFrame, size: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, drawn, reps): the usable rows (kind, id, text), their sketches, and the classes of equal word sequences,
+    numbered as they are written (num, kind, whole, rep, last, members, n, sketch)."""
     df = df.select("kind", F.col("id").cast("long").alias("id"), "text").filter("kind is not null and id is not null and text is not null")
     drawn = materialize(sketches(spread(df), size, k), "sketches")
     classes = drawn.groupBy("kind", "whole").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("members"))
-    # classes are numbered as they are written
     reps = materialize(classes.select(F.monotonically_increasing_id().alias("num"), "kind", "whole", "rep", "last", "members", "s.n", "s.sketch"), "sketch-classes")
-    met = materialize(candidates(reps.select("num", "kind", "n", "sketch"), k, threshold, block).distinct(), "met-pairs")
+    return df, drawn, reps
+
+
+def verified(df: DataFrame, reps: DataFrame, met: DataFrame, size: int, threshold: float, k: int) -> DataFrame:
+    """(kind, a, b, jaccard, num_a, num_b): the pairs of classes (a, b: numbers) that are similar enough, by their sets."""
+    spark = df.sparkSession
     named = reps.select("num", "kind", F.col("rep").alias("id"), "whole")
     side = lambda c: named.select(F.col("num").alias(c), "kind", F.col("id").alias(f"i{c}"), F.col("whole").alias(f"w{c}"))
-    met = materialize(met.join(side("a"), "a").join(side("b").drop("kind"), "b").select("kind", "ia", "wa", "ib", "wb"), "met-texts")
+    met = materialize(met.join(side("a"), "a").join(side("b").drop("kind"), "b").select("a", "b", "kind", "ia", "wa", "ib", "wb"), "met-texts")
     held = spark.sparkContext.broadcast(id_filter(met.select("kind", F.explode(F.array("ia", "ib")).alias("id"))))
 
     def sets(batches):
@@ -350,21 +378,52 @@ def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int
                     out[0].append(at)
                     out[1].append(both / (len(x) + len(y) - both))
             keep = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["kind"].take(keep), b["ia"].take(keep), b["ib"].take(keep), pa.array(out[1], pa.float64())], ["kind", "a", "b", "jaccard"])
+            cols = [b[c].take(keep) for c in ("kind", "ia", "ib")] + [pa.array(out[1], pa.float64())] + [b[c].take(keep) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "jaccard", "num_a", "num_b"])
 
     floor = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
-    sure = one.select("kind", "ia", "ib", "ha", "hb").mapInArrow(verify, "kind string, a long, b long, jaccard double")
+    return one.select("kind", "ia", "ib", "ha", "hb", "a", "b").mapInArrow(verify, "kind string, a long, b long, jaccard double, num_a long, num_b long")
+
+
+def copies_of(drawn: DataFrame, reps: DataFrame) -> DataFrame:
+    """(kind, id, rep): the texts of classes of several."""
+    many = reps.filter("rep <> last").select("kind", "whole", "rep", "members")
+    return join_hot(drawn.select("kind", "id", "whole"), many, ["kind", "whole"], "members", drawn.count()).select("kind", "id", "rep").distinct()
+
+
+def near_duplicates(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, copies) for a table (kind, id, text): pairs (kind, a, b, jaccard) of class representatives that are at
+    least ``threshold`` similar, and copies (kind, id, rep) with one row per text of a class of several; a text without
+    such a row is its own class."""
+    df, drawn, reps = prepared(df, size, k)
+    met = materialize(candidates(reps.select("num", "kind", "n", "sketch"), k, threshold, block).distinct(), "met-pairs")
     # repeated rows of a text must not repeat its pairs
+    sure = verified(df, reps, met, size, threshold, k)
     pairs = sure.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
-    many = reps.filter("rep <> last").select("kind", "whole", "rep", "members")
-    copies = join_hot(drawn.select("kind", "id", "whole"), many, ["kind", "whole"], "members", drawn.count()).select("kind", "id", "rep").distinct()
-    return pairs, copies
+    return pairs, copies_of(drawn, reps)
+
+
+def stars(plain: DataFrame, crowd: int, rounds: int = 3) -> DataFrame:
+    """(a, b): texts of long lists with the first text of the list, for each of the ``rounds`` smallest retained values:
+    as many rows as there are texts and rounds, however alike the texts are."""
+
+    def post(batches):
+        for b in batches:
+            key, row = values_of(b)
+            starts, length = runs(row)
+            first = np.arange(len(row)) - np.repeat(starts, length) < rounds
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(b["num"].to_numpy()[row[first]])], ["key", "num"])
+
+    rows = materialize(plain.select("num", "kind", "sketch").mapInArrow(post, "key long, num long"), "star-values")
+    lists = materialize(rows.groupBy("key").agg(F.min("num").alias("first"), F.count("*").alias("c")).filter(F.col("c") > crowd), "star-lists")
+    joined = join_hot(rows, lists, ["key"], "c", lists.agg(F.sum("c")).first()[0] or 0).filter("num <> first")
+    return joined.select(F.col("first").alias("a"), F.col("num").alias("b")).distinct()
 
 
 def expanded(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """(kind, a, b): the pairs of representatives written out for the members of their classes, and the pairs within
-    classes: one row per pair of items, so as many as the square of a class has. ``near_duplicates`` itself and ``groups``
-    stay linear in the size of a class."""
+    classes: one row per pair of items, so as many as the square of a class has. ``near_duplicates`` itself stays linear in the size of a class, ``near_groups`` also in that of
+    a group of near-copies."""
     out = pairs.select("kind", "a", "b")
     for c in ("a", "b"):
         m = copies.select("kind", F.col("rep").alias(c), F.col("id").alias("m"))
@@ -390,13 +449,28 @@ def components(edges: DataFrame) -> DataFrame:
         links = new
 
 
-def groups(df: DataFrame, pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """(kind, id, group, links): one row per item with the smallest id that similar texts lead to from it, and the number
-    of different texts it is similar to. Items without a similar text are their own group."""
-    pairs = materialize(pairs, "pairs")
-    top = components(pairs)
-    degree = pairs.select("kind", F.explode(F.array("a", "b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("links"))
+def near_groups(df: DataFrame, size: int = 5, threshold: float = 0.8, k: int = 32, block: int = 2000, crowd: int = 200) -> DataFrame:
+    """(kind, id, group): one row per item of a table (kind, id, text) with the smallest id that similar texts lead to
+    from it. Items without a similar text are their own group.
+
+    Texts of crowded lists are linked with the first text of the list where they are similar to it; texts so linked
+    need not be paired with each other any more, so a group of near-copies costs as many rows as it has texts. All
+    other pairs are compared as by ``near_duplicates``, so no two groups stay apart that a pair would join."""
+    spark = df.sparkSession
     items = df.select("kind", F.col("id").cast("long").alias("id")).filter("kind is not null and id is not null").distinct()
-    known = items.join(copies, ["kind", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    known = known.join(top.withColumnRenamed("id", "rep"), ["kind", "rep"], "left").join(degree, ["kind", "rep"], "left")
-    return known.select("kind", "id", F.coalesce("top", "rep").alias("group"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    df, drawn, reps = prepared(df, size, k)
+    plain = reps.select("num", "kind", "n", "sketch")
+    met = materialize(stars(plain, crowd), "met-stars")
+    linked = spark.createDataFrame([], "kind string, a long, b long, jaccard double, num_a long, num_b long")
+    clusters = None
+    if not met.isEmpty():
+        linked = materialize(verified(df, reps, met, size, threshold, k), "star-links")
+        top = components(linked.select(F.lit("").alias("kind"), F.col("num_a").alias("a"), F.col("num_b").alias("b")))
+        known = top.select(F.col("id").alias("num"), F.col("top").alias("cluster"))
+        clusters = materialize(known.unionByName(known.select(F.col("cluster").alias("num"), "cluster")).distinct(), "clusters")
+    met = materialize(candidates(plain, k, threshold, block, clusters).distinct(), "met-pairs")
+    pairs = verified(df, reps, met, size, threshold, k).unionByName(linked)
+    top = components(pairs.select("kind", "a", "b"))
+    known = items.join(copies_of(drawn, reps), ["kind", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    known = known.join(top.withColumnRenamed("id", "rep"), ["kind", "rep"], "left")
+    return known.select("kind", "id", F.coalesce("top", "rep").alias("group"))

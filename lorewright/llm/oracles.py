@@ -80,8 +80,8 @@ def oracle_sql() -> dict[str, str]:
         "p7_members": f"WITH {CLASSES} SELECT kind AS item_kind, id AS item_id, rep AS rep_id FROM k WHERE members > 1",
         "p7_groups": f"""WITH RECURSIVE {CLASSES}, e AS (SELECT kind, a_id AS a, b_id AS b FROM p UNION SELECT kind, b_id, a_id FROM p),
           r AS (SELECT kind, a AS id, a AS top FROM e UNION SELECT r.kind, r.id, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.top),
-          t AS (SELECT kind, id, min(top) AS top FROM r GROUP BY ALL), n AS (SELECT kind, a AS id, count(*) AS links FROM e GROUP BY ALL),
+          t AS (SELECT kind, id, min(top) AS top FROM r GROUP BY ALL),
           i AS (SELECT DISTINCT 'file' AS kind, file_id AS id FROM source_files WHERE file_id IS NOT NULL UNION SELECT DISTINCT 'chunk', chunk_seq FROM chunks WHERE chunk_seq IS NOT NULL)
-          SELECT i.kind AS item_kind, i.id AS item_id, coalesce(t.top, k.rep, i.id) AS group_id, coalesce(n.links, 0) AS links FROM i LEFT JOIN k ON k.kind = i.kind AND k.id = i.id LEFT JOIN t ON t.kind = i.kind AND t.id = coalesce(k.rep, i.id) LEFT JOIN n ON n.kind = i.kind AND n.id = coalesce(k.rep, i.id)""",
+          SELECT i.kind AS item_kind, i.id AS item_id, coalesce(t.top, k.rep, i.id) AS group_id FROM i LEFT JOIN k ON k.kind = i.kind AND k.id = i.id LEFT JOIN t ON t.kind = i.kind AND t.id = coalesce(k.rep, i.id)""",
         "p8_decoded": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
     }

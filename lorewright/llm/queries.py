@@ -49,11 +49,10 @@ def p7_members(spark, d):
 
 
 def p7_groups(spark, d):
-    from lorewright.llm.neardup import groups, near_duplicates
+    from lorewright.llm.neardup import near_groups
 
-    items = p7_items(spark, d)
-    got = groups(items, *near_duplicates(items, size=3, threshold=0.5))
-    return got.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
+    got = near_groups(p7_items(spark, d), size=3, threshold=0.5)
+    return got.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("group").alias("group_id"))
 
 
 SCORES = {"similarity": 1, "score": 1, "relevance_score": 1}

@@ -127,10 +127,50 @@ def test_groups_follow_chains(spark):
     texts = {i: " ".join(w[5 * i : 5 * i + 40]) for i in range(12)}  # each is like the next only
     texts |= {50: "a text like none of the others at all", 51: texts[3], 52: None}
     df = spark.createDataFrame([("x", i, t) for i, t in texts.items()], "kind string, id bigint, text string")
-    got = {r["id"]: (r["group"], r["links"]) for r in neardup.groups(df, *near_duplicates(df, size=3, threshold=0.5)).collect()}
-    want = pairs_of({i: t for i, t in texts.items() if i != 51}, 3, 0.5)
-    assert {i: g for i, (g, _) in got.items()} == {i: 0 if i < 12 or i == 51 else i for i in texts}
-    assert all(n == sum(i in p for p in want) for i, (_, n) in got.items() if i < 12) and got[51] == got[3]
+    got = {r["id"]: r["group"] for r in neardup.near_groups(df, size=3, threshold=0.5).collect()}
+    assert got == {i: 0 if i < 12 or i == 51 else i for i in texts}
+
+
+def components_of(pairs, ids):
+    top = {i: i for i in ids}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("crowd, block", [(5, 2000), (5, 12), (200, 2000)])
+def test_groups_of_near_copies(spark, crowd, block):
+    rnd = random.Random(5)
+    texts = {}
+    for g in range(3):  # near-copies; the last of each group is similar to one of them only
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(40):
+            w = list(base)
+            w[rnd.randrange(60)] = f"own{g}x{i}"
+            texts[g * 100 + i] = " ".join(w)
+        w = texts[g * 100 + 7].split()
+        texts[g * 100 + 90] = " ".join(w[:45] + [f"tail{g}x{i}" for i in range(12)])
+        texts[g * 100 + 91] = " ".join(w[30:45] + [f"tail{g}x{i}" for i in range(12)])
+    texts |= {1000 + i: t for i, t in corpus(80, 3).items()}
+    df = spark.createDataFrame([("x", i, t) for i, t in texts.items()], "kind string, id bigint, text string")
+    got = {r["id"]: r["group"] for r in neardup.near_groups(df, size=3, threshold=0.5, crowd=crowd, block=block).collect()}
+    assert got == components_of(pairs_of(texts, 3, 0.5), texts)
+
+
+def test_near_copies_take_linear_rows(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(base[: i % 200] + [f"own{i}"] + base[i % 200 + 1 :])) for i in range(1500)]
+    df = spark.createDataFrame([("x", i, t) for i, t in texts], "kind string, id bigint, text string")
+    _, _, reps = neardup.prepared(df, 3, 32)
+    assert neardup.stars(reps, 200).count() <= 3 * 1500
+    assert {r["group"] for r in neardup.near_groups(df, size=3, threshold=0.5).collect()} == {0}
 
 
 def test_kinds_are_kept_apart(spark):
