@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +46,13 @@ def scored(triples: DataFrame, queries: DataFrame, seq: str = "triple_seq") -> D
     facts and their matches, not with facts x queries. Terms are taken in blocks of fixed size."""
     spark = triples.sparkSession
     terms = queries.select("query_id", F.explode(query_terms("query")).alias("term")).filter(F.octet_length("term") >= LEAST_BYTES).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("times"))
-    distinct = [r["term"] for r in terms.select("term").distinct().orderBy("term").toLocalIterator()]
+    stream = terms.select("term").distinct().orderBy("term").toLocalIterator()
     facts = triples.select(seq, "subject", "predicate", "object")
     text = facts.withColumn("_f", fact_text())
     kind = dict(triples.dtypes)[seq]
     found = None
-    for lo in range(0, len(distinct), TERM_BLOCK):
-        held = spark.sparkContext.broadcast(distinct[lo : lo + TERM_BLOCK])
+    while some := [r["term"] for r in islice(stream, TERM_BLOCK)]:
+        held = spark.sparkContext.broadcast(some)
 
         def work(batches, held=held):
             import ahocorasick

@@ -70,21 +70,21 @@ def options_from_max_tokens(spark, d):
 
 
 def file_chunks(spark, d) -> DataFrame:
-    out = chunk.split_by_sentence(source_files(spark, d), "text", "name", chunk.ChunkOptions(1000, 200))
-    return chunk.with_sequence(out, ["name", "file_id", "index"])
+    return chunk.split_by_sentence(source_files(spark, d), "text", "name", chunk.ChunkOptions(1000, 200))
 
 
 def chunk_seq(spark, d):
-    return file_chunks(spark, d).select("chunk_seq", "file_id", "index", "id")
+    # only what the order needs is placed and numbered
+    numbered = chunk.with_sequence(file_chunks(spark, d).select("name", "file_id", "index", "id"), ["name", "file_id", "index"])
+    return numbered.select("chunk_seq", "file_id", "index", "id")
 
 
 def batch10_concat(spark, d):
-    return chunk.batches_of(file_chunks(spark, d)).select("batch_id", F.length("text").alias("characters"), F.md5("text").alias("digest"))
+    return chunk.batches_of(chunk.with_sequence(file_chunks(spark, d), ["name", "file_id", "index"])).select("batch_id", F.length("text").alias("characters"), F.md5("text").alias("digest"))
 
 
 def head_sample(spark, d):
-    out = chunk.split_by_sentence(source_files(spark, d), "text", "name", chunk.ChunkOptions(1000, 200))
-    return chunk.head_sample(out, order=["name", "file_id", "index"])
+    return chunk.head_sample(file_chunks(spark, d), order=["name", "file_id", "index"])
 
 
 # --- triples --------------------------------------------------------------------------------------------------

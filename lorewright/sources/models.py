@@ -174,9 +174,10 @@ class OverlapReranker:
         return [(i, len(q & set(d.lower().split())) / len(q) if q else 0.0) for i, d in enumerate(documents)]
 
 
-def embed_column(df: DataFrame, text: str, embedder, batch: int = 20, parallel: bool = True, out: str = "embedding") -> DataFrame:
+def embed_column(df: DataFrame, text: str, embedder, batch: int = 20, parallel: bool = True, out: str = "embedding", on_empty: str = "error") -> DataFrame:
     """``df`` with an embedding per row. Sequential mode is one task that sends batches and waits out rate limits;
-    parallel mode runs on every core. Empty texts are an error, as nothing can be said about them."""
+    parallel mode runs on every core. Empty texts are an error, as nothing can be said about them, or are left without
+    an embedding (null) with ``on_empty='null'``."""
     keep = [c for c in df.columns if c != out]
     schema = df.select(*keep).withColumn(out, F.lit(None).cast("array<float>")).schema
     sent = df.select(*keep, embeddable(text).alias("_sent"))
@@ -186,11 +187,14 @@ def embed_column(df: DataFrame, text: str, embedder, batch: int = 20, parallel:
         model = embedder.start()
         for b in it:
             texts = b["_sent"].to_pylist()
-            if any(not t for t in texts):
+            said = [i for i, t in enumerate(texts) if t]
+            if on_empty == "error" and len(said) < len(texts):
                 raise ValueError("there is an empty text among those to embed")
-            got: list = []
-            for lo in range(0, len(texts), batch):
-                got += retried(lambda lo=lo: model.embed(texts[lo : lo + batch]))
+            got: list = [None] * len(texts)
+            for lo in range(0, len(said), batch):
+                at = said[lo : lo + batch]
+                for i, v in zip(at, retried(lambda at=at: model.embed([texts[i] for i in at]))):
+                    got[i] = v
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(got, pa.list_(pa.float32()))], [*keep, out])
 
     return sent.mapInArrow(work, schema)

@@ -272,6 +272,31 @@ def test_embed_column(spark):
         models.embed_column(spark.createDataFrame([(1, "  ")], "id int, t string"), "t", models.HashEmbedder(8)).collect()
 
 
+def test_empty_texts_may_stay_without_embedding(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "  "), (3, None), (4, "c")], "id int, t string")
+    got = {r["id"]: r["embedding"] for r in models.embed_column(df, "t", models.HashEmbedder(8), on_empty="null").collect()}
+    assert got[2] is None and got[3] is None and len(got[1]) == len(got[4]) == 8
+
+
+def test_scratch_needs_a_shared_folder_on_clusters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lorewright.functions import scratch
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://x/y/"), sparkContext=SimpleNamespace(master="spark://a", applicationId="app-1"))
+    assert scratch.own(named) == "hdfs://x/y/lorewright-scratch/app-1"
+    with pytest.raises(RuntimeError):
+        scratch.root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://a")))
+
+
+def test_ties_go_to_the_smallest_keys(spark):
+    from lorewright.operators import vector
+
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(400, 0, -1)] + [(500, [0.0, 1.0])], "id bigint, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id bigint, embedding array<double>")
+    assert [r["id"] for r in vector.top_k_batch(df, q, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_streaming_ingest(spark, tmp_path):
     d, store = tmp_path / "in", VectorStore(spark, f"{tmp_path}/v")
     d.mkdir()
