@@ -83,5 +83,7 @@ def oracle_sql() -> dict[str, str]:
           t AS (SELECT kind, id, min(top) AS top FROM r GROUP BY ALL),
           i AS (SELECT DISTINCT 'file' AS kind, file_id AS id FROM source_files WHERE file_id IS NOT NULL UNION SELECT DISTINCT 'chunk', chunk_seq FROM chunks WHERE chunk_seq IS NOT NULL)
           SELECT i.kind AS item_kind, i.id AS item_id, coalesce(t.top, k.rep, i.id) AS group_id FROM i LEFT JOIN k ON k.kind = i.kind AND k.id = i.id LEFT JOIN t ON t.kind = i.kind AND t.id = coalesce(k.rep, i.id)""",
+        "p9_checks": "SELECT DISTINCT source, true AS within_repeats, true AS within_share FROM mix_targets WHERE source IS NOT NULL",
+        "p10_rebuilt": "SELECT DISTINCT doc_id, text, true AS found FROM documents WHERE doc_id IS NOT NULL",
         "p8_decoded": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
     }

@@ -294,3 +294,27 @@ def masked(df: DataFrame, id_col: str, text_col: str, given: set[str]) -> DataFr
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null").dropDuplicates(["id"])
     return rows.mapInArrow(work, "id long, text string, found int")
+
+
+def rebuilt(masks: DataFrame, spans: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, found): masked texts (id, text, found) with the stretches of ``spans`` put back from the originals, and
+    whether there are as many of them as were replaced."""
+    held = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begin_at", "end_at", "kind"))).alias("spans"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("original")).filter("id is not null").dropDuplicates(["id"])
+    parts = F.expr("transform(spans, s -> substring(original, int(s.begin_at + 1), int(s.end_at - s.begin_at)))")
+    rows = masks.join(held, "id", "left").join(texts, "id").select("id", "text", "found", "spans", parts.alias("parts"))
+
+    def work(batches):
+        for b in batches:
+            out, same = [], []
+            for text, found, ss, said in zip(*(b[c].to_pylist() for c in ("text", "found", "spans", "parts"))):
+                ss, said = ss or [], said or []
+                same.append(len(ss) == found)
+                at, done, got = 0, 0, []
+                for s, x in zip(ss, said):  # the text between two finds is as long as it was
+                    got += [text[at : at + s["begin_at"] - done], x]
+                    at, done = at + s["begin_at"] - done + len(PLACEHOLDER[s["kind"]]), s["end_at"]
+                out.append(None if text is None else "".join([*got, text[at:]]))
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.string()), pa.array(same, pa.bool_())], ["id", "text", "found"])
+
+    return rows.mapInArrow(work, "id long, text string, found boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import table
@@ -146,5 +147,27 @@ def p10_masked(spark, d):
     return masked(table(spark, d, "documents"), "doc_id", "text", given_names(table(spark, d, "entities"))).withColumnRenamed("id", "doc_id")
 
 
+def p10_rebuilt(spark, d):
+    """The masked texts with what was found put back in: the texts as they were."""
+    from lorewright.llm.personal import given_names, masked, personal_spans, rebuilt
+
+    docs, given = table(spark, d, "documents"), given_names(table(spark, d, "entities"))
+    back = rebuilt(masked(docs, "doc_id", "text", given), personal_spans(docs, "doc_id", "text", given), docs, "doc_id", "text")
+    return back.select(F.col("id").alias("doc_id"), "text", "found")
+
+
+def p9_checks(spark, d):
+    """Whether every source keeps to its repeats and, to one of its documents and half a hundredth of the total, to its
+    share, the shares of sources without documents going to the others in proportion."""
+    from lorewright.llm.mixing import mixed
+
+    copies, shares = mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    shares = shares.join(copies.groupBy("source").agg(F.max("n_tokens").alias("one")), "source", "left")
+    total = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))
+    there = F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))  # a row per source
+    want = F.when(F.col("available_tokens") > 0, F.col("target_share") / there).otherwise(0.0)
+    return shares.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("actual_share") - want) <= 0.005 + F.coalesce("one", F.lit(0)) / total).alias("within_share"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit() and callable(f) and not name.endswith("_items")}
