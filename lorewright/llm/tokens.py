@@ -46,7 +46,7 @@ def encoded(words: DataFrame, name: str, folder: str) -> DataFrame:
     def work(batches):
         t = load(name, folder)
         for b in batches:
-            ids = [e.ids for e in t.encode_batch(b["word"].to_pylist(), add_special_tokens=False)]
+            ids = [e.ids for e in t.encode_batch_fast(b["word"].to_pylist(), add_special_tokens=False)]  # without places
             yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(work, "word string, n long, ids array<int>")
@@ -76,7 +76,11 @@ def token_ids(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER
     widest = table.agg(F.max(F.size("ids")), F.max(F.array_max("ids"))).first()
     part, each = (max(int(x or 0), 1).bit_length() for x in widest)
     fits = F.when(F.col("pos") < 1 << min(62 - part - each, 31), F.col("pos").cast("long")).otherwise(F.raise_error(F.lit("a text has too many words for its longest word")).cast("long"))
-    packed = F.transform("ids", lambda t, i: F.shiftleft("at", part + each) + F.shiftleft(i.cast("long"), each) + t).alias("t")
+    # part and id are packed once for each distinct word, most of which are one token
+    codes = F.transform("ids", lambda t, i: F.shiftleft(i.cast("long"), each) + t).alias("ids")
+    table, hot = table.select("word", "n", codes), materialize(hot.select("word", codes), "hot-codes")
+    first = F.shiftleft("at", part + each)
+    packed = F.when(F.size("ids") == 1, F.array(first + F.col("ids")[0])).otherwise(F.transform("ids", lambda t: first + t)).alias("t")
     # most words are hot: their rows are put together by text before anything is shuffled
     here, rare = joined(flat.select("doc_id", "word", fits.alias("at")), table, hot, "doc_id", packed)
     ids = here.unionByName(rare).groupBy("doc_id").agg(F.flatten(F.collect_list("t")).alias("t"))
