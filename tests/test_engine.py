@@ -297,6 +297,27 @@ def test_ties_go_to_the_smallest_keys(spark):
     assert [r["id"] for r in vector.top_k_batch(df, q, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_late_events_are_left_out(spark, tmp_path):
+    """Windows close once the watermark passes them; what comes later for a closed window is dropped."""
+    import os
+
+    from lorewright.streaming.ingest import late_counts
+
+    parts = [["12:01", "12:07"], ["12:09", "13:00"], ["13:05"], ["12:03", "14:00"], ["14:01"], ["14:02"]]
+    for i, times in enumerate(parts):
+        spark.createDataFrame([(f"2024-01-01 {t}:00", "click") for t in times], "ts string, event_type string").select(F.to_timestamp("ts").alias("ts"), "event_type").coalesce(1).write.parquet(f"{tmp_path}/made/{i}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        made = next((tmp_path / "made" / str(i)).glob("part-*"))
+        made.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    counts = late_counts(stream, "ts", "10 minutes", "30 minutes")
+    counts.writeStream.format("memory").queryName("late_counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r["begin_at"])[11:16], r["n"]) for r in spark.table("late_counts").collect()}
+    # 12:09 came in time, 12:03 after its window was closed by 13:00 less half an hour
+    assert got == {("12:00", 3), ("13:00", 2)}
+
+
 def test_streaming_ingest(spark, tmp_path):
     d, store = tmp_path / "in", VectorStore(spark, f"{tmp_path}/v")
     d.mkdir()
