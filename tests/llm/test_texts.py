@@ -173,6 +173,17 @@ def test_near_copies_take_linear_rows(spark):
     assert {r["group"] for r in neardup.near_groups(df, size=3, threshold=0.5).collect()} == {0}
 
 
+def test_groups_of_odd_tables(spark):
+    shape = "kind string, id bigint, text string, num int, key string, a int, whole string, cluster int"
+    empty = spark.createDataFrame([], shape)
+    assert neardup.near_groups(empty, 3, 0.5).count() == 0 and near_duplicates(empty, 3, 0.5)[0].count() == 0
+    t = "some words that are the same in both rows here"
+    rows = [("x", 1, t), ("x", 1, t), ("x", 5, t + " too"), ("x", 7, None), ("x", 8, ""), (None, 9, t), ("x", None, t), ("y", 1, t), ("y", -4, t)]
+    df = spark.createDataFrame([(*r, 1, "k", 2, "w", 3) for r in rows], shape)
+    got = {(r["kind"], r["id"]): r["group"] for r in neardup.near_groups(df, 3, 0.5, crowd=0).collect()}
+    assert got == {("x", 1): 1, ("x", 5): 1, ("x", 7): 7, ("x", 8): 8, ("y", 1): -4, ("y", -4): -4}
+
+
 def test_kinds_are_kept_apart(spark):
     t = "some words that are the same in both kinds of rows here"
     df = spark.createDataFrame([("file", 1, t), ("chunk", 2, t), ("chunk", 1, t)], "kind string, id bigint, text string")
