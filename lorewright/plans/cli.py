@@ -8,6 +8,7 @@ from pathlib import Path
 
 from lorewright import __version__
 from lorewright.plans import config as cfg
+from lorewright.plans import display
 
 
 def session():
@@ -45,7 +46,9 @@ def main(argv: list[str] | None = None) -> int:
             from lorewright.plans.engine import compile_folder
 
             told = compile_folder(session(), args.dir, cfg.load(args.config), offline=args.offline)
-            print(f"{told['chunks']} chunks, {told['triples']} triples, {told['failed_batches']} batches failed")
+            display.say("done", f"{told['chunks']} chunks, {told['triples']} triples")
+            if told["failed_batches"]:
+                display.say("warning", f"{told['failed_batches']} batches failed: {'; '.join(told['errors'][:3])}")
         else:
             from lorewright.plans.engine import Engine
             from lorewright.plans.service import serve
@@ -53,10 +56,10 @@ def main(argv: list[str] | None = None) -> int:
             c = cfg.load(args.config)
             engine = Engine.open(session(), args.dir, c, args.agent, offline=args.offline)
             port = args.port or (engine.agent.get("server") or {}).get("port") or c.port
-            print(f"serving {engine.name} on port {port}")
+            display.banner(engine.name, {"version": __version__, "port": port, "vectors": engine.vectors.count(), "triples": engine.facts.count(), "chat": f"http://localhost:{port}/v1/chat/completions", "tools": f"http://localhost:{port}/mcp"})
             serve(engine, port).serve_forever()
     except (OSError, ValueError) as e:
-        print(f"error: {e}", file=sys.stderr)
+        display.say("error", str(e))
         return 1
     return 0
 

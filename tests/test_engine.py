@@ -331,6 +331,18 @@ def test_streaming_ingest(spark, tmp_path):
     assert sorted(r["id"] for r in store.table().collect()) == ["a_md_0", "b_md_0"]
 
 
+def test_display(capsys):
+    from lorewright.plans import display
+
+    display.say("step", "one")
+    display.say("error", "two")
+    display.pairs({"a": 1, "long": 2})
+    display.banner("My Agent", {"port": 8000})
+    told = capsys.readouterr()
+    assert told.out.splitlines() == ["→ one", "  a     1", "  long  2", "┌────────────┐", "│ My Agent   │", "│            │", "│ port  8000 │", "└────────────┘"] and told.err == "✗ two\n"
+    assert display.coloured("x", 31, True) == "\x1b[31mx\x1b[0m" and display.coloured("x", 31, False) == "x"
+
+
 def test_command_line(tmp_path, capsys):
     assert cli.main(["version"]) == 0
     assert cli.main(["init", str(tmp_path / "new")]) == 0 and (tmp_path / "new" / "agent.yaml").exists()
