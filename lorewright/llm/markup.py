@@ -474,7 +474,8 @@ def features(bs: list[Block]) -> np.ndarray:
         return np.empty((0, 9))
     size = np.array([max(len(b.text), 1) for b in bs], float)
     link = np.minimum(np.array([b.links for b in bs]) / size, 1.0)
-    around = np.convolve(np.pad(link, 1, mode="edge"), [0.5, 0, 0.5], mode="valid")
+    padded = np.pad(link, 1)
+    around = (padded[:-2] + padded[2:]) / np.maximum(np.minimum(np.arange(len(bs)), 1) + np.minimum(np.arange(len(bs))[::-1], 1), 1)  # of the neighbours there are
     many = np.array([min(np.log1p(len(b.text.split())), 6) / 6 for b in bs])
     stops = np.array([sum(b.text.count(c) for c in ".!?,;:") for b in bs]) / size * 20
     digits = np.array([sum(c.isdigit() for c in b.text) for b in bs]) / size
