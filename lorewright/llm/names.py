@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import join_hot, materialize
+from lorewright.llm.common import join_hot, materialize, spread
 
 TITLES = ("professor", "prof", "mister", "miss", "mrs", "mr", "ms", "dr", "sir", "doctor")
 SUFFIXES = ("phd", "msc", "bsc", "mba", "md", "ops", "jr", "sr", "junior", "senior", "esq")
@@ -401,7 +401,7 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
                             out[1].append(part)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["folded", "part"])
 
-            near = left.mapInArrow(splits, "folded string, part string").join(checked_broadcast(parts), "part")
+            near = spread(left).mapInArrow(splits, "folded string, part string").join(checked_broadcast(parts), "part")
             met = met.unionByName(near.select(columns)).distinct()
         forms_before = forms
         hits = materialize(met.repartition("folded").mapInArrow(score, shape), "name-hits")
